@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,7 +108,7 @@ def components(edges: DataFrame) -> DataFrame:
 #: A block holds about so many bytes of whole texts.
 BLOCK_BYTES = 4 << 20
 
-BLOCK_SCHEMA = "block_id long, n_docs int, ids binary, known binary, ends binary, data binary"
+BLOCK_SCHEMA = "block_id long, n_docs int, ids binary, known binary, ends binary, data binary, rest binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +117,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first, n = TaskContext.get().partitionId() << 32, 0
     pressed = zstandard.ZstdCompressor(level=3)
 
-    def block(ids: list, texts: list) -> pa.RecordBatch:
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         nonlocal n
+        ids = [i for p in parts for i in p.column(0).to_pylist()]
+        texts = [t or b"" for p in parts for t in p.column(1).cast(pa.binary()).to_pylist()]
         known = np.array([i is not None for i in ids], dtype=np.uint8)
         raw = np.array([0 if i is None else i for i in ids], dtype=np.int64)
         ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        rest = pa.BufferOutputStream()
+        if parts[0].num_columns > 2:
+            kept = pa.Table.from_batches([p.select(range(2, p.num_columns)) for p in parts])
+            with pa.ipc.new_stream(rest, kept.schema) as out:
+                out.write_table(kept)
         n += 1
         return pa.RecordBatch.from_pydict({
             "block_id": pa.array([first + n - 1], pa.int64()),
@@ -129,30 +137,38 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "known": pa.array([known.tobytes()], pa.binary()),
             "ends": pa.array([ends.tobytes()], pa.binary()),
             "data": pa.array([pressed.compress(b"".join(texts))], pa.binary()),
+            "rest": pa.array([rest.getvalue().to_pybytes()], pa.binary()),
         })
 
-    ids: list = []
-    texts: list = []
-    held = 0
+    parts, held = [], 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            ids.append(i)
-            texts.append(t or b"")
-            held += len(texts[-1])
+        sizes = np.cumsum(np.array(pc.fill_null(pc.binary_length(batch.column(1)), 0), dtype=np.int64))
+        start = 0
+        while start < batch.num_rows:
+            done = int(sizes[start - 1]) if start else 0
+            stop = min(batch.num_rows, int(np.searchsorted(sizes, done + BLOCK_BYTES - held)) + 1)
+            parts.append(batch.slice(start, stop - start))
+            held += int(sizes[stop - 1]) - done
+            start = stop
             if held >= BLOCK_BYTES:
-                yield block(ids, texts)
-                ids, texts, held = [], [], 0
-    if ids:
-        yield block(ids, texts)
+                yield block(parts)
+                parts, held = [], 0
+    if parts:
+        yield block(parts)
 
 
-def blocks(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+def blocks(documents: DataFrame, doc_id: str, text: str, *rest: str) -> DataFrame:
     """``documents`` as rows of about 4 MB of whole texts, compressed (``BLOCK_SCHEMA``).
 
-    A null text is an empty one. ``known`` marks the ids that are not null. Blocks
-    are numbered by input partition, so a task that runs again makes the same blocks.
+    A null text is an empty one. ``known`` marks the ids that are not null. Columns
+    ``rest`` go along unread. Blocks are numbered by input partition. They are dealt by
+    number and checkpointed, so later steps see the same blocks whatever is lost, and
+    joins by block move the other side only.
     """
-    return documents.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_pack, BLOCK_SCHEMA)
+    spark = documents.sparkSession
+    columns = [F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *[F.col(f"`{c}`") for c in rest]]
+    made = documents.select(*columns).mapInArrow(_pack, BLOCK_SCHEMA)
+    return checkpointed(made.repartition(shards(spark, 0), "block_id"))
 
 
 class Block:
@@ -165,6 +181,7 @@ class Block:
         self.ends = np.frombuffer(row["ends"], dtype=np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         size = int(self.ends[-1])
+        self.rest = row.get("rest")
         raw = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(1, size)) if size else b""
         self.data = np.frombuffer(raw, dtype=np.uint8)
 
@@ -177,6 +194,11 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint6
 _powers: dict[str, np.ndarray] = {}
 
 
+def each_block(table: pa.Table) -> Iterator["Block"]:
+    for row in table.to_pylist():
+        yield Block(row)
+
+
 def _power(base: np.uint64, n: int) -> np.ndarray:
     key = str(base)
     if key not in _powers or len(_powers[key]) < n:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, media, mixing, packing, warc
+from . import chat, fingerprint, media, mixing, ngram_join, packing, suffix, toxicity, warc
 from .common import read, shared_folder
 
 
@@ -27,6 +27,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_grams", "class_id", "n_links")
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
@@ -58,14 +62,27 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffix.deduplicate(read(spark, sf_dir, "documents"))
+    n_kept, n_spans = F.octet_length("kept").cast("long"), F.size("spans").cast("long")
+    return made.select("doc_id", "n_bytes", (F.col("n_bytes") - n_kept).alias("n_removed"), n_spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = media.store(read(spark, sf_dir, "documents"), keep_bytes=False)
     feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "images", "thumbnail_hash")
     return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    made = toxicity.score(docs, model)
+    return made.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_packing, op4_chat, op5_imatch, op6_warc, op9_media)
+    f.__name__: f for f in (op1_mixing, op2_packing, op3_ngram_join, op4_chat, op5_imatch, op6_warc, op7_suffix, op9_media, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {

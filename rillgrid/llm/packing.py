@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -13,11 +15,15 @@ from pyspark.sql import functions as F
 #: Remainders are held until there are so many, and packed until so few are left.
 HOLD, LEAVE = 2048, 512
 
-#: Entries of a worker's table from white-space-free strings to their ids.
-CACHE = 700_000
+#: Entries of a worker's table from words to their ids.
+CACHE = 1_500_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
+#: Lower case of Latin-1, and a full stop or comma that closes a word.
+_LOWER = bytes(ord(chr(i).lower()) if len(chr(i).lower()) == 1 and ord(chr(i).lower()) < 256 else i for i in range(256))
+_CLOSING = re.compile(rb"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?= |$)")
+
 _tokenizers: dict = {}
 
 
@@ -25,24 +31,57 @@ def _tokenizer(path: str):
     if path not in _tokenizers:
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        closes = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        closes[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        _tokenizers[path] = (tokenizer, closes, {})
     return _tokenizers[path]
 
 
+def _learn(tokenizer, closes: np.ndarray, parts: list) -> dict:
+    """The ids of each part. Plain words are encoded many in one text; a word's last id closes it."""
+    out, odd, plain = {}, [], []
+    for x in parts:
+        text = x.decode("latin-1") if isinstance(x, bytes) else x
+        (plain if text.isalpha() else odd).append((x, text))
+    lots = [plain[k : k + 256] for k in range(0, len(plain), 256)]
+    for lot, e in zip(lots, tokenizer.encode_batch_fast([" ".join(t for _, t in lot) for lot in lots], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, dtype="<u4")
+        ends = (np.flatnonzero(closes[ids]) + 1).tolist()
+        if len(ends) != len(lot):
+            odd += lot
+            continue
+        raw, start = ids.tobytes(), 0
+        for (x, _), end in zip(lot, ends, strict=True):
+            out[x] = raw[4 * start : 4 * end]
+            start = end
+    for (x, _), e in zip(odd, tokenizer.encode_batch_fast([t for _, t in odd], add_special_tokens=False), strict=True):
+        out[x] = array("I", e.ids).tobytes()
+    return out
+
+
 def encode(path: str, text: str) -> bytes:
     """The ids of ``text`` as little-endian 32-bit numbers.
 
-    The tokenizer splits at white space before all else, so a text's ids are those
-    of the strings between its spaces and line ends, which recur and are kept.
+    The tokenizer lowers case, drops white space and encodes each word by itself, so a
+    text's ids are those of the strings between its spaces and line ends, which recur
+    and are kept. Latin-1 texts are lowered first and a comma or full stop after a
+    letter is taken off, which the tokenizer would do, so that fewer strings differ.
     """
-    tokenizer, known = _tokenizer(path)
-    parts = text.replace("\n", " ").split(" ")
+    tokenizer, closes, known = _tokenizer(path)
+    try:
+        if "<|" in text:  # may be a special token, in the case it has
+            raise UnicodeError
+        raw = text.encode("latin-1")
+        parts = _CLOSING.sub(rb" \1", raw.translate(_LOWER).replace(b"\n", b" ")).split(b" ")
+    except UnicodeError:
+        parts = text.replace("\n", " ").split(" ")
     if new := [x for x in set(parts) if x not in known]:
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(set(parts))
-        for x, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, dtype="<u4").tobytes()
+        made = _learn(tokenizer, closes, new)
+        if len(known) + len(new) <= CACHE:
+            known.update(made)
+        else:  # the words that come first come most; the others are encoded each time
+            return b"".join([known[x] if x in known else made[x] for x in parts])
     return b"".join(map(known.__getitem__, parts))
 
 

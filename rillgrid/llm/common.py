@@ -24,9 +24,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, small: bool = False) -> DataFrame:
     """``df`` computed once, its lineage cut, in the folder that all executors share.
 
+    A ``small`` table, of sums over much larger ones, is kept in fewer files.
     The folder is ``spark.checkpoint.dir``; a local one is made only where that is
     unset, as in tests. Spark removes the files when nothing refers to them any more.
     """
@@ -34,6 +35,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="rillgrid-checkpoint-"))
+    if small:
+        df = df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
     return df.checkpoint(eager=True)
 
 
@@ -157,18 +160,21 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block(parts)
 
 
-def blocks(documents: DataFrame, doc_id: str, text: str, *rest: str) -> DataFrame:
+def packed_blocks(documents: DataFrame, doc_id: str, text: str, *rest: str) -> DataFrame:
     """``documents`` as rows of about 4 MB of whole texts, compressed (``BLOCK_SCHEMA``).
 
     A null text is an empty one. ``known`` marks the ids that are not null. Columns
-    ``rest`` go along unread. Blocks are numbered by input partition. They are dealt by
-    number and checkpointed, so later steps see the same blocks whatever is lost, and
-    joins by block move the other side only.
+    ``rest`` go along unread. Blocks are numbered by input partition, so a table that
+    reads alike twice makes the same blocks twice.
     """
-    spark = documents.sparkSession
     columns = [F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *[F.col(f"`{c}`") for c in rest]]
-    made = documents.select(*columns).mapInArrow(_pack, BLOCK_SCHEMA)
-    return checkpointed(made.repartition(shards(spark, 0), "block_id"))
+    return documents.select(*columns).mapInArrow(_pack, BLOCK_SCHEMA)
+
+
+def blocks(documents: DataFrame, doc_id: str, text: str, *rest: str) -> DataFrame:
+    """``packed_blocks`` dealt by number and checkpointed: later steps see the same blocks
+    whatever is lost, and joins by block move the other side only."""
+    return checkpointed(packed_blocks(documents, doc_id, text, *rest).repartition(shards(documents.sparkSession, 0), "block_id"))
 
 
 class Block:
@@ -181,7 +187,7 @@ class Block:
         self.ends = np.frombuffer(row["ends"], dtype=np.int64)
         self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         size = int(self.ends[-1])
-        self.rest = row.get("rest")
+        self.rest = row["rest"]
         raw = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(1, size)) if size else b""
         self.data = np.frombuffer(raw, dtype=np.uint8)
 

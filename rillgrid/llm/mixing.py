@@ -7,15 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, join_sized, new_names
+from .common import BROADCAST_ROWS, WORD, checkpointed, join_sized, new_names
 
 #: Seeded order is cut into so many buckets per source before any sort.
 BUCKETS = 4096
 
 
 def words(text: Column) -> Column:
-    """Number of words of a text; a null text has none."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+    """Number of words of a text; a null text has none.
+
+    Each word becomes one character and the white space goes: no list of words is made.
+    """
+    return F.char_length(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x"), "[^x]+", "")).cast("long")
 
 
 def draw(seed: int, doc_id: Column) -> Column:
@@ -88,31 +91,33 @@ def mix(
     )
     keyed = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
     sized = documents.withColumns({size: words(F.col(text)), key: keyed, at: draw(seed, F.col(doc_id))})
-    light = checkpointed(
-        sized.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(size).alias("size"), F.col(at).alias("at"))
-    )
     width = (1 << 60) // BUCKETS
     bucket = F.floor(F.col("at") / F.lit(width)).cast("int")
-    summed = checkpointed(light.groupBy("key", bucket.alias("bucket")).agg(F.first("source").alias("source"), F.sum("size").alias("words")))
+    light = sized.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(size).alias("size"), F.col(at).alias("at"))
+    summed = light.groupBy("key", bucket.alias("bucket")).agg(F.first("source").alias("source"), F.sum("size").alias("words"))
+    summed = checkpointed(summed, small=True)
     sizes = summed.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
     plan = source_targets(sizes, weights, max_epochs)
     wanted = F.floor(F.col("target") + 0.5).cast("long")
     plan = plan.withColumn("times", F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(0))
-    plan = checkpointed(plan.withColumn("rest", wanted - F.col("times") * F.col("source_size")))
+    plan = plan.withColumn("rest", wanted - F.col("times") * F.col("source_size"))
     # The bucket, and then the draw, at which the rest of the target is used up.
     running = Window.partitionBy("key").orderBy("bucket")
     reached = summed.withColumn("upto", F.sum("words").over(running)).join(plan.select("key", "rest"), "key")
-    cut_bucket = reached.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest"))).select(
+    cut_bucket = checkpointed(reached.where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest"))).select(
         "key", "bucket", "rest", (F.col("upto") - F.col("words")).alias("passed")
-    )
-    inside = light.withColumn("bucket", bucket).join(cut_bucket, ["key", "bucket"]).groupBy("key", "at", "rest", "passed").agg(F.sum("size").alias("words"))
+    ), small=True)
+    # Only the rows of those buckets are counted again.
+    near = documents.select(keyed.alias("key"), draw(seed, F.col(doc_id)).alias("at"), F.col(text).alias("text")).withColumn("bucket", bucket)
+    near = near.join(F.broadcast(cut_bucket) if cut_bucket.count() <= BROADCAST_ROWS else cut_bucket, ["key", "bucket"])
+    inside = near.withColumn("size", words(F.col("text"))).groupBy("key", "at", "rest", "passed").agg(F.sum("size").alias("words"))
     upto = F.col("passed") + F.sum("words").over(Window.partitionBy("key").orderBy("at"))
     cut = (
         inside.withColumn("upto", upto)
         .where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
         .select("key", F.col("at").alias("cut"), (F.col("rest") - F.col("upto") + F.col("words")).alias("part"), F.col("words").alias("shared"))
     )
-    small = checkpointed(plan.join(cut, "key", "left")).select(
+    small = checkpointed(plan.join(cut, "key", "left"), small=True).select(
         F.col("key").alias(key),
         F.col("source_size").alias(source_size),
         F.col("target").alias(target),

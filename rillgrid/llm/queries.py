@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, media, mixing, ngram_join, packing, suffix, toxicity, warc
+from . import chat, fingerprint, media, mixing, ngram_join, packing, quality, suffix, toxicity, warc
 from .common import read, shared_folder
 
 
@@ -68,6 +68,12 @@ def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_bytes", (F.col("n_bytes") - n_kept).alias("n_removed"), n_spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    made = quality.classify(docs, read(spark, sf_dir, "labels"))
+    return made.select("doc_id", "lang", "n_bytes", "log_perplexity", F.exp("log_perplexity").alias("perplexity"), "threshold", "keep")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = media.store(read(spark, sf_dir, "documents"), keep_bytes=False)
     feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "images", "thumbnail_hash")
@@ -82,7 +88,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_packing, op3_ngram_join, op4_chat, op5_imatch, op6_warc, op7_suffix, op9_media, op10_toxicity)
+    f.__name__: f for f in (op1_mixing, op2_packing, op3_ngram_join, op4_chat, op5_imatch, op6_warc, op7_suffix, op8_kneser_ney, op9_media, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {

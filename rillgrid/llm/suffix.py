@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -100,6 +101,11 @@ def _cuts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
 
 
+def _stops(starts: np.ndarray, n: int) -> np.ndarray:
+    """Where each run ends, of runs that fill ``n`` places."""
+    return np.append(starts, n)[1:] if len(starts) else starts
+
+
 def _ranges(n: np.ndarray) -> np.ndarray:
     """0 to n[k] - 1 for each k, one after the other."""
     total = int(n.sum())
@@ -201,13 +207,13 @@ def least_documents(hashes: np.ndarray, sizes: np.ndarray, docs: np.ndarray, dat
     order = np.lexsort((docs, content, hashes))
     kind_start = _cuts(_pairs(hashes[order], content[order]))
     kind = np.empty(len(order), dtype=np.int64)
-    kind[order] = np.repeat(np.arange(len(kind_start)), np.diff(np.append(kind_start, len(order))))
+    kind[order] = np.repeat(np.arange(len(kind_start)), _stops(kind_start, len(order)) - kind_start)
     one = order[kind_start]  # the least document of each kind comes first
     room = sizes[one] - least + 1
     found = np.repeat(docs[one], room)
     base = np.cumsum(room) - room
     anchor_start = _cuts(hashes[one])
-    kinds = np.diff(np.append(anchor_start, len(one)))
+    kinds = _stops(anchor_start, len(one)) - anchor_start
     many = np.repeat(kinds > 1, kinds)
     size = np.cumsum(np.where(many, sizes[one] + 1, 0))
     group = np.repeat(np.arange(len(anchor_start)), kinds)
@@ -278,7 +284,7 @@ class Snippets:
         known = np.unique(short)
         where = _shard(known << np.uint64(16), n)
         start = _cuts(where)
-        stop = np.append(start[1:], len(known))
+        stop = _stops(start, len(known))
         again = np.zeros(len(known), dtype=bool)
         bits = dict(zip(answers.column("shard").to_pylist(), answers.column("bits").to_pylist(), strict=True))
         for a, b in zip(start, stop, strict=True):
@@ -297,7 +303,7 @@ class Snippets:
         order = np.lexsort((self.doc, self.size, content, self.hash))
         start = _cuts(np.rec.fromarrays([self.hash[order], content[order], self.size[order]]))
         self.kind = np.empty(len(order), dtype=np.int64)
-        self.kind[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
+        self.kind[order] = np.repeat(np.arange(len(start)), _stops(start, len(order)) - start)
         self.one = order[start]
         self.shard = _shard(_short(self.hash[self.one]) << np.uint64(16), n)
         self.first = first
@@ -312,7 +318,7 @@ def _sent(n: int, least: int):
             block = Block(row)
             sn = Snippets(block, right, n, least)
             start = _cuts(sn.shard)
-            for a, b in zip(start, np.append(start[1:], len(sn.shard)), strict=True):
+            for a, b in zip(start, _stops(start, len(sn.shard)), strict=True):
                 rows = sn.one[a:b]
                 spots = np.repeat(sn.first[rows], sn.size[rows]) + _ranges(sn.size[rows])
                 out["shard"].append(int(sn.shard[a]))
@@ -340,7 +346,7 @@ def _found(least: int):
         room = sizes - least + 1
         owner = np.repeat(np.arange(len(sizes)), room)
         cut = _cuts(_pairs(owner, got))
-        runs, values = np.diff(np.append(cut, len(got))).astype(np.uint8), got[cut]
+        runs, values = (_stops(cut, len(got)) - cut).astype(np.uint8), got[cut]
         of = np.searchsorted(np.cumsum([len(r["hashes"]) // 8 for r in rows]), owner[cut], side="right")
         stop = np.searchsorted(of, np.arange(len(rows)), side="right")
         start = np.concatenate([[0], stop[:-1]])
@@ -430,7 +436,8 @@ def deduplicate(
     character of which some byte stays, so that ``kept`` is UTF-8.
 
     A null text is empty; a null id is above all others, and texts of equal ids remove
-    nothing from one another; an empty table gives no rows. A string in very many
+    nothing from one another; an empty table gives no rows. A result's name that ``rest``
+    has too gets a leading underscore. A string in very many
     documents is one snippet per block, and each shard holds a range of the hash space
     whose size follows from the table's, so neither tasks nor the driver grow with it.
     """
@@ -447,7 +454,24 @@ def deduplicate(
     )
     found = sent.groupBy("shard").applyInArrow(_found(least), "block_id long, shard int, runs binary, values binary")
     both = answers.unionByName(found, allowMissingColumns=True)
-    struct = T.StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<start: long, stop: long>>, kept binary")
+    names = []
+    for name in ("doc_id", "n_bytes", "spans", "kept"):
+        while name.lower() in {c.lower() for c in rest}:
+            name = f"_{name}"
+        names.append(name)
+    kinds = ("long", "long", "array<struct<start: long, stop: long>>", "binary")
+    struct = T.StructType.fromDDL(", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
     for name in rest:
         struct.add(documents.schema[name])
     return by_block.cogroup(both.groupBy("block_id")).applyInArrow(_marked(n, least, whole_characters, to_arrow_schema(struct)), struct)
+
+
+def deduplicated_documents(documents: DataFrame, *, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``documents`` with the kept text of each; ``n_chars``, where there is one, follows it."""
+    rest = [c for c in documents.columns if c not in (doc_id, text)]
+    made = deduplicate(documents, *rest, least=least, whole_characters=True, doc_id=doc_id, text=text)
+    own, _, _, kept = made.columns[:4]
+    columns = {doc_id: F.col(own), text: F.when(F.col(kept).isNotNull(), F.decode(F.col(kept), "UTF-8"))}
+    if "n_chars" in rest:
+        columns["n_chars"] = F.char_length(columns[text]).cast(documents.schema["n_chars"].dataType)
+    return made.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns])

@@ -25,7 +25,7 @@ TRUSTED_IDS = 1_000_000
 KEPT_OUT = 5
 #: The quantile of the trusted documents' perplexity above which a document goes, and the
 #: standard errors by which a text must be above it.
-QUANTILE, ERRORS = 0.995, 3.0
+QUANTILE, ERRORS = 0.99, 3.0
 
 
 def grams(block: Block, order: int, docs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

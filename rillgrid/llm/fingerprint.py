@@ -13,11 +13,10 @@ from .common import checkpointed, new_names, shards, total_bytes
 #: A term is in the band if between one in RARE and one in COMMON documents has it.
 RARE, COMMON = 1024, 4
 
-#: Lexicons: the whole band, then CELLS subsets of each of LEVELS samples, each sample a
-#: quarter of the one before, so that short and long texts have subsets of a few terms.
-LEVELS, CELLS = 5, 16
-WIDTH = 8
-NONE = "-" * WIDTH
+#: Lexicons: the whole band (twice, by two hashes), the 8 parts that three bits of a
+#: term's hash make of it, the 8 parts of each, and twice more 64 parts, of the first 8
+#: before: one term in 8, 64, 512 and 4,096, so that any text has parts of a few terms.
+PARTS, BITS = 8, 3
 
 #: The band goes to all tasks up to so many terms; a larger one is joined by shuffle.
 LEXICON = 300_000
@@ -26,7 +25,8 @@ LEXICON = 300_000
 def terms(text: Column) -> Column:
     """64-bit hashes of the distinct words (runs of letters and digits, lower case) of a text."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))  # what lies outside the first and last word
 
 
 @dataclass
@@ -59,7 +59,7 @@ def lexicon(documents: DataFrame, text: str) -> Lexicon:
     n = documents.count()
     counts = documents.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     # In a small table one document in RARE is no frequency at all: two at least.
-    rows = checkpointed(counts.where((F.col("df") >= max(2, n / RARE)) & (F.col("df") <= max(2, n / COMMON))).select("term"))
+    rows = checkpointed(counts.where((F.col("df") >= max(2, n / RARE)) & (F.col("df") <= max(2, n / COMMON))).select("term"), small=True)
     size = rows.count()
     lex = Lexicon(rows, size, 1 << max(1, size).bit_length())
     if size <= LEXICON:
@@ -76,22 +76,34 @@ def lexicon(documents: DataFrame, text: str) -> Lexicon:
     return lex
 
 
-def _marks(kept: Column) -> Column:
-    """The fingerprint of the hashes of a text's terms: WIDTH hex digits for each lexicon."""
-    mark = lambda x: F.when(F.size(x) == 0, F.lit(NONE)).otherwise(F.lower(F.lpad(F.hex(F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF))), WIDTH, "0")))
-    cell = lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(CELLS - 1))
-    sample = lambda level: F.filter(kept, lambda h: h.bitwiseAND(F.lit((1 << 2 * level) - 1)) == 0) if level else kept
-    levels = F.array(*[sample(k) for k in range(LEVELS)])
-    split = lambda s: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.filter(s, lambda h: cell(h) == c))
-    cells = F.transform(F.flatten(F.transform(levels, split)), mark)
-    return F.concat(mark(kept), F.array_join(cells, ""))
+def _split(kept: Column, bit: int) -> Column:
+    every = F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))
+    return F.transform(every, lambda c: F.filter(kept, lambda h: F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(PARTS - 1)) == c))
+
+
+def _with_marks(df: DataFrame, kept: str, name: str) -> DataFrame:
+    """``name``: 16-bit hashes of a text's sorted terms in each lexicon; null where there are none."""
+    a, b, c, d = parts = new_names(df, "imatch_a", "imatch_b", "imatch_c", "imatch_d")
+    out = df.withColumn(a, _split(F.col(kept), 40))
+    out = out.withColumn(b, F.flatten(F.transform(a, lambda x: _split(x, 40 + BITS))))
+    out = out.withColumn(c, F.flatten(F.transform(F.slice(b, 1, PARTS), lambda x: _split(x, 40 + 2 * BITS))))
+    out = out.withColumn(d, F.flatten(F.transform(F.slice(c, 1, PARTS), lambda x: _split(x, 40 + 3 * BITS))))
+    mark = lambda x: F.when(F.size(x) > 0, F.hash(x).bitwiseAND(F.lit(0xFFFF)))
+    whole = F.when(F.size(kept) > 0, F.xxhash64(kept).bitwiseAND(F.lit(0xFFFF)).cast("int"))
+    every = F.concat(F.array(F.col(kept)), *[F.col(x) for x in parts])
+    return out.withColumn(name, F.concat(F.array(whole), F.transform(every, mark))).drop(*parts)
+
+
+def shown(marks: Column) -> Column:
+    """Marks as a string: four hex digits for each lexicon, dashes where there are no terms."""
+    return F.array_join(F.transform(marks, lambda m: F.coalesce(F.lower(F.lpad(F.hex(m), 4, "0")), F.lit("----"))), "")
 
 
 def with_fingerprint(df: DataFrame, lex: Lexicon, text: str, name: str) -> DataFrame:
-    """``df`` and the fingerprint of ``text`` as column ``name``.
+    """``df`` and the fingerprint of ``text``, an array of marks, as column ``name``.
 
     Terms in the band, sorted, are hashed for every lexicon; a lexicon that holds none
-    of them gives dashes. A text with no term in the band is marked by all its terms.
+    of them gives null. A text with no term in the band is marked by all its terms.
     """
     found, kept = new_names(df, "imatch_terms", "imatch_kept")
     if lex.flat is not None:
@@ -112,18 +124,15 @@ def with_fingerprint(df: DataFrame, lex: Lexicon, text: str, name: str) -> DataF
         each = each.join(lex.rows.withColumnRenamed("term", term), term).groupBy(key).agg(F.collect_list(term).alias(kept))
         out = out.join(each, key, "left").withColumn(kept, F.coalesce(kept, F.array().cast("array<bigint>"))).drop(key)
     chosen = F.sort_array(F.when(F.size(kept) > 0, F.col(kept)).otherwise(F.col(found)))
-    out = out.withColumn(kept, chosen).withColumn(name, _marks(F.col(kept)))
+    out = _with_marks(out.withColumn(kept, chosen), kept, name)
     return out.select(*df.columns, name)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of equal marks among the lexicons of which either text has a term."""
-    n = 1 + LEVELS * CELLS
-    part = lambda x, k: F.substring(x, k * WIDTH + 1, F.lit(WIDTH))
-    some = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: (part(a, k) != NONE) | (part(b, k) != NONE))
-    same = F.filter(some, lambda k: part(a, k) == part(b, k))
-    share = F.when(F.size(some) == 0, F.lit(1.0)).otherwise(F.size(same) / F.size(some))
-    return F.when(a == b, F.lit(1.0)).otherwise(share).cast("double")
+    pairs = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), F.lit(None)).otherwise(x.eqNullSafe(y)))
+    some, same = F.size(F.filter(pairs, lambda p: p.isNotNull())), F.size(F.filter(pairs, lambda p: p))
+    return F.when(some == 0, F.lit(1.0)).otherwise(same / some).cast("double")
 
 
 def edited_against_next(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,8 +177,8 @@ def edited_against_next(documents: DataFrame, *, doc_id: str = "doc_id", text: s
         "doc_id",
         "n_chars",
         "edited_text",
-        "fingerprint",
-        "edited_fingerprint",
+        shown(F.col("fingerprint")).alias("fingerprint"),
+        shown(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_mark")).alias("near_next"),
     )

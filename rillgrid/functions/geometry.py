@@ -154,10 +154,14 @@ def polygons(wkb: bytes | None) -> list:
     return []
 
 
-@F.pandas_udf("binary")
-def to_multi_polygon(wkb: pd.Series) -> pd.Series:
+def to_multi_polygon(wkb: Column) -> Column:
     """Polygons and collections as multi-polygons; null where nothing is polygonal."""
-    return wkb.map(lambda w: encode(MULTI_POLYGON, ps) if (ps := polygons(w)) else None)
+
+    @F.pandas_udf("binary")
+    def promoted(wkb: pd.Series) -> pd.Series:
+        return wkb.map(lambda w: encode(MULTI_POLYGON, ps) if (ps := polygons(w)) else None)
+
+    return promoted(wkb)
 
 
 def clip_ring(ring: list, box: tuple[float, float, float, float]) -> list:
@@ -178,8 +182,7 @@ def clip_ring(ring: list, box: tuple[float, float, float, float]) -> list:
     return [*ring, ring[0]] if len(ring) >= 3 and ring[0] != ring[-1] else (ring if len(ring) >= 4 else [])
 
 
-@F.pandas_udf("binary")
-def clip_to_box(wkb: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
+def clip_to_box(wkb: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
     """The polygonal part of a geometry inside a box, as a multi-polygon; null where empty."""
 
     def cut(w, *box):
@@ -190,7 +193,11 @@ def clip_to_box(wkb: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Serie
                 out.append(kept)
         return encode(MULTI_POLYGON, out) if out else None
 
-    return pd.Series([cut(*x) for x in zip(wkb, minx, miny, maxx, maxy, strict=True)], dtype=object)
+    @F.pandas_udf("binary")
+    def clipped(wkb: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
+        return pd.Series([cut(*x) for x in zip(wkb, minx, miny, maxx, maxy, strict=True)], dtype=object)
+
+    return clipped(wkb, minx, miny, maxx, maxy)
 
 
 def simplify(points: list, tolerance: float) -> list:

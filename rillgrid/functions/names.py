@@ -99,7 +99,7 @@ def join_list(items: Column, separator: str = ";") -> Column:
 
 def split_list(text: Column) -> Column:
     """Parts between commas, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def truthy(x: Column) -> Column:

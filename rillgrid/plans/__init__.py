@@ -1,6 +1,6 @@
 """Queries over the test tables, each with the same query as SQL, and the mask pipeline."""
 
-from . import graph_queries
+from . import file_queries, graph_queries, space_queries, stats_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph_queries"]
+__all__ = ["ORACLES", "QUERIES", "file_queries", "graph_queries", "space_queries", "stats_queries"]

@@ -13,6 +13,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.names import base_name, truthy
 
@@ -91,13 +93,10 @@ def contents(spark: SparkSession, path: str | Sequence[str], glob: str) -> DataF
 
 def parsed(files: DataFrame, parse: Callable[[str, bytes], list[dict]], schema: str) -> DataFrame:
     """The rows that ``parse`` makes of each file, file by file."""
-    names = [x.strip().split(" ")[0] for x in _columns(schema)]
+    want = to_arrow_schema(StructType.fromDDL(schema))
+    names = want.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        want = to_arrow_schema(StructType.fromDDL(schema))
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if rows := parse(path, content):
@@ -106,17 +105,6 @@ def parsed(files: DataFrame, parse: Callable[[str, bytes], list[dict]], schema:
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def _columns(schema: str) -> list[str]:
-    out, depth = [""], 0
-    for c in schema:
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += c
-    return out
-
-
 def write_files(rows: DataFrame, folder: str) -> None:
     """Write ``(name, content)`` rows as files below a folder that all executors mount.
 

@@ -200,3 +200,17 @@ def written(pixels: DataFrame, key: str, transform: Sequence[float], epsg: int,
         return pd.DataFrame({"name": [f"{pdf[key].iloc[0]}_mask.tif"], "content": [write(image, transform, epsg)]})
 
     return pixels.select(F.col(key).cast("string").alias(key), "r", "c", value).groupBy(key).applyInPandas(build, "name string, content binary")
+
+
+def resampled(image: np.ndarray, factor: float) -> np.ndarray:
+    """An image ``factor`` times as large in both directions, bilinear between pixel centres."""
+    h, w = image.shape[-2:]
+    rows, cols = max(1, round(h * factor)), max(1, round(w * factor))
+    y = np.clip((np.arange(rows) + 0.5) * h / rows - 0.5, 0, h - 1)
+    x = np.clip((np.arange(cols) + 0.5) * w / cols - 0.5, 0, w - 1)
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
+    top = image[..., y0[:, None], x0] * (1 - fx) + image[..., y0[:, None], x1] * fx
+    low = image[..., y1[:, None], x0] * (1 - fx) + image[..., y1[:, None], x1] * fx
+    return top * (1 - fy) + low * fy

@@ -20,7 +20,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
+#: Rows of whole texts are large: batches of fewer rows keep a task's buffers at a few MB.
+LONG_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "256"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000")}
+
+
+def long_rows(spark: SparkSession) -> None:
+    """Set the sizes of LONG_ROWS where they are still Spark's own."""
+    for key, (usual, own) in LONG_ROWS.items():
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, own)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    long_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -109,16 +121,16 @@ def components(edges: DataFrame) -> DataFrame:
 # --- byte blocks -----------------------------------------------------------------------------
 
 #: A block holds about so many bytes of whole texts.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 BLOCK_SCHEMA = "block_id long, n_docs int, ids binary, known binary, ends binary, data binary, rest binary"
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     first, n = TaskContext.get().partitionId() << 32, 0
-    pressed = zstandard.ZstdCompressor(level=3)
+    pressed = zstandard.ZstdCompressor(level=5)
 
     def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         nonlocal n
@@ -149,32 +161,26 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         while start < batch.num_rows:
             done = int(sizes[start - 1]) if start else 0
-            stop = min(batch.num_rows, int(np.searchsorted(sizes, done + BLOCK_BYTES - held)) + 1)
+            stop = min(batch.num_rows, int(np.searchsorted(sizes, done + size - held)) + 1)
             parts.append(batch.slice(start, stop - start))
             held += int(sizes[stop - 1]) - done
             start = stop
-            if held >= BLOCK_BYTES:
+            if held >= size:
                 yield block(parts)
                 parts, held = [], 0
     if parts:
         yield block(parts)
 
 
-def packed_blocks(documents: DataFrame, doc_id: str, text: str, *rest: str) -> DataFrame:
-    """``documents`` as rows of about 4 MB of whole texts, compressed (``BLOCK_SCHEMA``).
+def packed_blocks(documents: DataFrame, doc_id: str, text: str, *rest: str, size: int = BLOCK_BYTES) -> DataFrame:
+    """``documents`` as rows of about ``size`` bytes of whole texts, compressed (``BLOCK_SCHEMA``).
 
     A null text is an empty one. ``known`` marks the ids that are not null. Columns
     ``rest`` go along unread. Blocks are numbered by input partition, so a table that
     reads alike twice makes the same blocks twice.
     """
     columns = [F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *[F.col(f"`{c}`") for c in rest]]
-    return documents.select(*columns).mapInArrow(_pack, BLOCK_SCHEMA)
-
-
-def blocks(documents: DataFrame, doc_id: str, text: str, *rest: str) -> DataFrame:
-    """``packed_blocks`` dealt by number and checkpointed: later steps see the same blocks
-    whatever is lost, and joins by block move the other side only."""
-    return checkpointed(packed_blocks(documents, doc_id, text, *rest).repartition(shards(documents.sparkSession, 0), "block_id"))
+    return documents.select(*columns).mapInArrow(lambda batches: _pack(batches, size), BLOCK_SCHEMA)
 
 
 class Block:
@@ -232,6 +238,11 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def power_back(n: int) -> np.ndarray:
+    """What takes the place of a span out of its hash, for the first ``n`` places."""
+    return _power(_INVERSE, n)
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed((prefix[end] - prefix[start]) * _power(_INVERSE, len(prefix))[start])
 

@@ -250,8 +250,8 @@ def classify(documents: DataFrame, labels: DataFrame, *, quantile: float = QUANT
     judged = rows.where("trusted and not train and log_perplexity is not null")
     at = F.percentile_approx("log_perplexity", F.lit(quantile), F.lit(10_000))
     by_lang = judged.groupBy("lang").agg(at.alias("own")).withColumnRenamed("lang", "of")
-    every = judged.agg(at.alias("every"))
-    whole = rows.join(by_lang, rows.lang.eqNullSafe(by_lang.of), "left").crossJoin(F.broadcast(every))
-    threshold = F.coalesce("own", "every")
+    every = judged.agg(at.alias("every")).first()["every"]
+    whole = rows.join(by_lang, rows.lang.eqNullSafe(by_lang.of), "left")
+    threshold = F.coalesce("own", F.lit(every).cast("double"))
     keep = F.coalesce(F.col("log_perplexity") - F.lit(errors) * F.col("error") <= threshold, F.lit(True))
     return whole.select("doc_id", "lang", "trusted", "n_bytes", "log_perplexity", "error", threshold.alias("threshold"), keep.alias("keep"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +121,24 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def tidy() -> None:
+    """Give back to the system what a task has freed: workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run: Callable) -> Callable:
+    """A task's function that tidies up after its last batch."""
+
+    @functools.wraps(run)
+    def then_tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return then_tidy
+
+
 # --- byte blocks -----------------------------------------------------------------------------
 
 #: A block holds about so many bytes of whole texts.
@@ -180,7 +201,7 @@ def packed_blocks(documents: DataFrame, doc_id: str, text: str, *rest: str, size
     reads alike twice makes the same blocks twice.
     """
     columns = [F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *[F.col(f"`{c}`") for c in rest]]
-    return documents.select(*columns).mapInArrow(lambda batches: _pack(batches, size), BLOCK_SCHEMA)
+    return documents.select(*columns).mapInArrow(tidied(lambda batches: _pack(batches, size)), BLOCK_SCHEMA)
 
 
 class Block:

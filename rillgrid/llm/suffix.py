@@ -20,17 +20,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Block, blocks, checkpointed, mixed, prefix_hash, shards, span_hash, total_bytes
+from .common import Block, checkpointed, mixed, packed_blocks, power_back, prefix_hash, shards, span_hash, tidied, tidy, total_bytes
 
 #: Bytes of a string that counts as repeated, and of an anchor.
 LEAST, GRAM = 50, 20
 
+#: Places of a block that are hashed in step; bytes of snippets that are indexed in step.
+STEP, PART = 1 << 19, 1 << 20
+
 #: Stands for the id of a document without one: above all others.
 NO_ID = np.iinfo(np.int64).max
 
 
 def _press(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _unpress(data: bytes) -> bytes:
@@ -40,23 +43,34 @@ def _unpress(data: bytes) -> bytes:
 class Anchors:
     """The anchors of a block's strings, in the order of the strings they stand for.
 
-    Strings that start at ``first[k]`` to ``last[k]`` have the anchor with hash ``hash[k]``
-    and lie in document ``doc[k]``.
+    Strings that start at ``first[k]`` to ``last[k]`` have the anchor with hash ``hash[k]``,
+    lie in document ``doc[k]``, and all their bytes together have the hash ``content[k]``.
+    ``STEP`` places are looked at at a time, so memory follows them and not a text.
     """
 
     def __init__(self, block: Block, least: int):
-        data, n = block.data, len(block.data)
-        room = np.maximum(block.ends - block.starts - least + 1, 0)
-        total = int(room.sum())
-        empty = np.zeros(0, dtype=np.int64)
-        self.first = self.last = self.doc = empty
-        self.hash, self.prefix = empty.astype(np.uint64), None
-        if not total:
-            return
+        parts = [self._part(block, least, k) for k in range(0, max(1, len(block.data)), STEP)]
+        self.first, self.last, self.hash, self.content = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.doc = np.searchsorted(block.ends, self.first, side="right")
+
+    @staticmethod
+    def _part(block: Block, least: int, at: int) -> tuple[np.ndarray, ...]:
+        data = block.data[at : at + STEP + least - 1]
+        whole = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        if len(data) < least:
+            return whole
+        # Strings that end before their document does.
+        docs = slice(np.searchsorted(block.ends, at, side="right"), np.searchsorted(block.starts, at + STEP))
+        low = np.maximum(block.starts[docs], at) - at
+        high = np.minimum(block.ends[docs] - least + 1, at + STEP) - at
+        room = np.maximum(high - low, 0)
+        start = np.repeat(low, room) + _ranges(room)
+        if not len(start):
+            return whole
         prefix = prefix_hash(data)
-        gram = np.arange(n - GRAM + 1)
-        grams = span_hash(prefix, gram, gram + GRAM)
-        order = (grams & np.uint64(0xFFFFFFFF00000000)) | gram.astype(np.uint64)
+        grams = mixed((prefix[GRAM:] - prefix[:-GRAM]) * power_back(len(prefix) - GRAM))
+        place = np.arange(len(grams), dtype=np.uint64)
+        order = (grams & np.uint64(0xFFFFFFFF00000000)) | place
         # Least of the grams in each string: minima over 1, 2, 4 ... of them, then two that overlap.
         width, span = least - GRAM + 1, 1
         while 2 * span <= width:
@@ -64,14 +78,11 @@ class Anchors:
             span *= 2
         if span < width:
             order = np.minimum(order[: len(order) - width + span], order[width - span :])
-        start = np.repeat(block.starts, room) + np.arange(total) - np.repeat(np.cumsum(room) - room, room)
-        at = (order[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        self.first = start[new]
-        self.last = start[np.concatenate([new[1:], [total]]) - 1]
-        self.hash = grams[at[new]]
-        self.doc = np.searchsorted(block.ends, self.first, side="right")
-        self.prefix = prefix
+        anchor = (order[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        new = _cuts(anchor)
+        first, last = start[new], start[_stops(new, len(start)) - 1]
+        # Least hashes are small; hashed again they are spread over all shards.
+        return first + at, last + at, mixed(~grams[anchor[new]]), span_hash(prefix, first, last + least)
 
 
 def _shard(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -195,12 +206,11 @@ class RunIndex:
         return out
 
 
-def least_documents(hashes: np.ndarray, sizes: np.ndarray, docs: np.ndarray, data: np.ndarray, least: int, part: int = 1 << 22) -> np.ndarray:
+def least_documents(hashes: np.ndarray, sizes: np.ndarray, docs: np.ndarray, data: np.ndarray, least: int) -> np.ndarray:
     """For each snippet and each string in it, the least document that any equal string has.
 
     Equal snippets are indexed once. Snippets of an anchor that has just one need no
-    index: all their strings have the same documents. ``part`` bytes are indexed at a
-    time; an anchor's snippets, which alone can share strings, stay together.
+    index: all their strings have the same documents.
     """
     ends = np.cumsum(sizes)
     content = span_hash(prefix_hash(data), ends - sizes, ends) ^ mixed(sizes.astype(np.uint64))
@@ -214,13 +224,8 @@ def least_documents(hashes: np.ndarray, sizes: np.ndarray, docs: np.ndarray, dat
     base = np.cumsum(room) - room
     anchor_start = _cuts(hashes[one])
     kinds = _stops(anchor_start, len(one)) - anchor_start
-    many = np.repeat(kinds > 1, kinds)
-    size = np.cumsum(np.where(many, sizes[one] + 1, 0))
-    group = np.repeat(np.arange(len(anchor_start)), kinds)
-    # Parts end where an anchor's kinds end.
-    part_of = (np.maximum.reduceat(size, anchor_start) // part)[group] if len(one) else group
-    for k in np.unique(part_of[many]):
-        some = np.flatnonzero(many & (part_of == k))
+    some = np.flatnonzero(np.repeat(kinds > 1, kinds))
+    if len(some):
         rows = one[some]
         spots = np.repeat(ends[rows] - sizes[rows], sizes[rows]) + _ranges(sizes[rows])
         index = RunIndex(data[spots], sizes[rows], docs[rows], least)
@@ -229,6 +234,31 @@ def least_documents(hashes: np.ndarray, sizes: np.ndarray, docs: np.ndarray, dat
     return found[np.repeat(base[kind], all_room) + _ranges(all_room)]
 
 
+def least_runs(hashes: np.ndarray, sizes: np.ndarray, docs: np.ndarray, data: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """``least_documents`` as runs ``(snippet, length, document)``, in order of snippets.
+
+    About ``PART`` bytes are looked at at a time; the snippets of an anchor, which alone
+    can share strings, stay together.
+    """
+    order = np.argsort(hashes, kind="stable")
+    cut = _cuts(hashes[order])
+    upto = np.cumsum(sizes[order])[_stops(cut, len(order)) - 1] if len(cut) else cut
+    lots = _cuts(upto // PART)
+    starts = cut[lots]
+    ends = np.cumsum(sizes)
+    out = []
+    for a, b in zip(starts, _stops(starts, len(order)), strict=True):
+        rows = order[a:b]
+        spots = np.repeat(ends[rows] - sizes[rows], sizes[rows]) + _ranges(sizes[rows])
+        got = least_documents(hashes[rows], sizes[rows], docs[rows], data[spots], least)
+        owner = np.repeat(rows, sizes[rows] - least + 1)
+        runs = _cuts(_pairs(owner, got))
+        out.append((owner[runs], _stops(runs, len(got)) - runs, got[runs]))
+    owner, length, value = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (ends,) * 3
+    by = np.argsort(owner, kind="stable")
+    return owner[by], length[by], value[by]
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.rec.fromarrays([a, b])
 
@@ -299,7 +329,7 @@ class Snippets:
         self.hash = anchors.hash[self.uses]
         ids = np.where(block.known, block.ids, NO_ID)
         self.doc = ids[anchors.doc[self.uses]] if len(self.uses) else np.zeros(0, dtype=np.int64)
-        content = span_hash(anchors.prefix, first, stop) if len(self.uses) else np.zeros(0, dtype=np.uint64)
+        content = anchors.content[self.uses]
         order = np.lexsort((self.doc, self.size, content, self.hash))
         start = _cuts(np.rec.fromarrays([self.hash[order], content[order], self.size[order]]))
         self.kind = np.empty(len(order), dtype=np.int64)
@@ -342,12 +372,10 @@ def _found(least: int):
         docs = np.concatenate([np.frombuffer(r["docs"], dtype=np.int64) for r in rows])
         sizes = np.concatenate([np.frombuffer(r["sizes"], dtype=np.uint8) for r in rows]).astype(np.int64)
         data = np.frombuffer(b"".join(_unpress(r["data"]) for r in rows), dtype=np.uint8)
-        got = least_documents(hashes, sizes, docs, data, least)
-        room = sizes - least + 1
-        owner = np.repeat(np.arange(len(sizes)), room)
-        cut = _cuts(_pairs(owner, got))
-        runs, values = (_stops(cut, len(got)) - cut).astype(np.uint8), got[cut]
-        of = np.searchsorted(np.cumsum([len(r["hashes"]) // 8 for r in rows]), owner[cut], side="right")
+        owner, runs, values = least_runs(hashes, sizes, docs, data, least)
+        tidy()
+        runs = runs.astype(np.uint8)
+        of = np.searchsorted(np.cumsum([len(r["hashes"]) // 8 for r in rows]), owner, side="right")
         stop = np.searchsorted(of, np.arange(len(rows)), side="right")
         start = np.concatenate([[0], stop[:-1]])
         return pa.table({
@@ -369,15 +397,21 @@ def repeated_bytes(block: Block, answers: pa.Table, found: pa.Table, n: int, lea
         rows = [by_shard[int(k)] for k in sn.shard[_cuts(sn.shard)]]
         runs = np.concatenate([np.frombuffer(r["runs"], dtype=np.uint8) for r in rows])
         values = np.concatenate([np.frombuffer(_unpress(r["values"]), dtype=np.int64) for r in rows])
-        doc_of = np.repeat(values, runs)  # for each kind and each string in it
-        kind_room = sn.size[sn.one] - least + 1
-        base = np.cumsum(kind_room) - kind_room
-        room = sn.size - least + 1
-        step = _ranges(room)
-        gone = doc_of[np.repeat(base[sn.kind], room) + step] < np.repeat(sn.doc, room)
-        start = (np.repeat(sn.first, room) + step)[gone]
+        # The runs of each kind, and then of each use of it.
+        length = runs.astype(np.int64)
+        upto = np.cumsum(length)
+        kind_end = np.cumsum(sn.size[sn.one] - least + 1)
+        run_end = np.searchsorted(upto, kind_end) + 1
+        run_start = np.concatenate([[0], run_end[:-1]])
+        n_runs = (run_end - run_start)[sn.kind]
+        use = np.repeat(np.arange(len(sn.uses)), n_runs)
+        run = run_start[sn.kind][use] + _ranges(n_runs)
+        gone = values[run] < sn.doc[use]
+        use, run = use[gone], run[gone]
+        kind_start = kind_end - (sn.size[sn.one] - least + 1)
+        start = sn.first[use] + upto[run] - length[run] - kind_start[sn.kind[use]]
         np.add.at(marks, start, 1)
-        np.subtract.at(marks, start + least, 1)
+        np.subtract.at(marks, start + length[run] - 1 + least, 1)
     return np.cumsum(marks[:-1]) > 0
 
 
@@ -440,14 +474,15 @@ def deduplicate(
     has too gets a leading underscore. A string in very many
     documents is one snippet per block, and each shard holds a range of the hash space
     whose size follows from the table's, so neither tasks nor the driver grow with it.
+    Blocks are made afresh for the first question, so the table must read alike twice.
     """
     if not 32 <= least <= 128:
         raise ValueError("least must be from 32 to 128")
     spark = documents.sparkSession
     n = shards(spark, total_bytes(documents, text))
-    parts = blocks(documents, doc_id, text, *rest)
+    parts = packed_blocks(documents, doc_id, text, *rest)
     by_block = parts.groupBy("block_id")
-    asked = parts.mapInArrow(_asked(n, least), "shard int, block_id long, n int, list binary")
+    asked = parts.mapInArrow(tidied(_asked(n, least)), "shard int, block_id long, n int, list binary")
     answers = checkpointed(asked.groupBy("shard").applyInArrow(_answered, "block_id long, shard int, bits binary"))
     sent = by_block.cogroup(answers.groupBy("block_id")).applyInArrow(
         _sent(n, least), "shard int, block_id long, hashes binary, docs binary, sizes binary, data binary"

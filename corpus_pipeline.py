@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillgrid.llm import mixing, ngram_join, packing, suffix, toxicity
-from rillgrid.llm.common import new_names, read, shared_folder
+from rillgrid.llm.common import long_rows, new_names, read, shared_folder
 from rillgrid.llm.queries import tokenizer_path
 
 
@@ -24,21 +24,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents alike to 0.8 or more in their word 5-grams, the one with the least id stays."""
+    long_rows(spark)
     return ngram_join.one_of_each(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Characters go that lie in 50 bytes which a document with a smaller id has too."""
+    long_rows(spark)
     return suffix.deduplicated_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are sampled or repeated to their share of all words."""
+    long_rows(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4,096 tokens."""
+    long_rows(spark)
     pieces = packing.pack(docs, tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: Samples a payload is padded to a multiple of: 24 x 24 blocks.
 UNIT, ACROSS = 576, 24
 #: A JPEG has at most 65,535 lines; longer payloads take several images, one after the other.
@@ -365,4 +367,4 @@ def store(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k
 
     schema = f"doc_id long, n_bytes long, {MEDIA}, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long"
     names = [x.split()[0] for x in schema.split(", ")]
-    return documents.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, schema)
+    return documents.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(tidied(run), schema)

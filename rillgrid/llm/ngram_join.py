@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed, components, mixed, new_names, prefix_hash, shards, span_hash
+from .common import BROADCAST_ROWS, checkpointed, components, mixed, new_names, prefix_hash, shards, span_hash, tidied, tidy
 
 #: Members, and n-grams of all members, of a block of a candidate group.
 MEMBERS, GRAMS = 512, 1 << 20
@@ -137,7 +137,7 @@ def signatures(documents: DataFrame, doc_id: str, text: str, bands: int, rows: i
             )
 
     light = documents.select(F.xxhash64(doc_id, text).alias("row_key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return light.mapInArrow(run, "row_key long, doc_id long, v long, n_grams int, bands array<long>")
+    return light.mapInArrow(tidied(run), "row_key long, doc_id long, v long, n_grams int, bands array<long>")
 
 
 def _grams(n: int):
@@ -209,6 +209,7 @@ def _verified(threshold: float):
             out_v.append(ids[some])
             out_links.append(links[some])
             out_root.append(root[some])
+        tidy()
         join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64), pa.int64())
         return pa.table({"v": join(out_v), "links": join(out_links), "root": join(out_root)})
 
@@ -252,7 +253,7 @@ def near_duplicates(
     texts = documents.select(F.xxhash64(doc_id, text).alias("row_key"), F.col(text).alias("text"))
     chosen = members.select("row_key", "v")
     texts = texts.join(F.broadcast(chosen) if n_members <= BROADCAST_ROWS else chosen, "row_key").select("v", "text")
-    sets = texts.mapInArrow(_grams(n), "v long, grams binary")
+    sets = texts.mapInArrow(tidied(_grams(n)), "v long, grams binary")
     sizes = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n_grams").alias("g"))
     cut = F.greatest(F.ceil(F.col("m") / MEMBERS), F.ceil(F.col("g") / GRAMS)).cast("int")
     spread = members.join(sizes.select("grp", cut.alias("cut")), "grp").withColumn("block", F.pmod(F.xxhash64("v"), F.col("cut")).cast("int"))

@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: Remainders are held until there are so many, and packed until so few are left.
 HOLD, LEAVE = 2048, 512
 
 #: Entries of a worker's table from words to their ids.
-CACHE = 1_500_000
+CACHE = 400_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -227,4 +229,4 @@ def pack(
         if packer.rows:
             yield packer.flush()
 
-    return documents.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, PIECES)
+    return documents.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(tidied(run), PIECES)

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, checkpointed, packed_blocks, shards, total_bytes
+from .common import Block, checkpointed, packed_blocks, shards, tidied, total_bytes
 
 #: Bytes of an n-gram (5 at most fit the lists), and of the alphabet.
 ORDER, BYTES = 5, 256
@@ -229,8 +229,8 @@ def score(
     rows = rows.select("doc_id", "text", train.alias("train"), "lang", trusted.alias("trusted"))
     parts = packed_blocks(rows, "doc_id", "text", "train", "lang", "trusted", size=4 << 20)
     n = shards(spark, total_bytes(rows, "text") // 8)
-    counts = checkpointed(parts.mapInArrow(_counted(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), small=True)
-    asked = checkpointed(parts.mapInArrow(_asked(order, n), "shard int, block_id long, list binary"))
+    counts = checkpointed(parts.mapInArrow(tidied(_counted(order)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), small=True)
+    asked = checkpointed(parts.mapInArrow(tidied(_asked(order, n)), "shard int, block_id long, list binary"))
     wanted = checkpointed(asked.select("list").mapInArrow(_needed, "gram long").distinct(), small=True)
     model = log_probabilities(counts, wanted, order).withColumn("shard", _shard(F.col("gram"), n))
     answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_answered, "block_id long, shard int, logp binary")

@@ -118,6 +118,19 @@ ORACLES: dict[str, str] = {
             FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source)
         SELECT doc_id, size, source_size, target, (times * size + least(greatest(rest - passed, 0), size))::BIGINT AS taken FROM ordered
     """,
+    "op3_ngram_join": r"""
+        WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        gram AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))
+                                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM worded),
+        size AS (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c) - 1e-9),
+        reach AS (SELECT doc_id AS v, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM reach r JOIN link l ON l.a = r.v)
+        SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_grams, min(r.root) AS class_id, coalesce(any_value(k.n), 0)::BIGINT AS n_links
+        FROM documents d LEFT JOIN size s USING (doc_id) JOIN reach r ON r.v = d.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) k ON k.a = d.doc_id
+        GROUP BY d.doc_id
+    """,
     "op4_chat": r"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -133,6 +146,20 @@ ORACLES: dict[str, str] = {
                sum(length(role) + length(body) + 24)::BIGINT AS formatted_chars, true AS identical
         FROM coded GROUP BY conv_id
     """,
+    "op7_suffix": r"""
+        WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        spot AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM raw),
+        str AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM spot),
+        first AS (SELECT s, min(doc_id) AS least FROM str GROUP BY s HAVING count(*) > 1),
+        gone AS (SELECT doc_id, p FROM str JOIN first USING (s) WHERE least < doc_id),
+        step AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER w + 50 THEN 0 ELSE 1 END AS fresh FROM gone WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+        run AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM step) t GROUP BY doc_id, k),
+        kept AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM run),
+        cut AS (SELECT k.doc_id, sum(b - a) AS n, count(*) AS spans, string_agg(substr(h, 2 * start + 1, 2 * (a - start)), '' ORDER BY a) AS head, max(b) AS stop FROM kept k JOIN raw USING (doc_id) GROUP BY k.doc_id)
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(CASE WHEN n IS NULL THEN h ELSE head || substr(h, 2 * stop + 1) END)) AS kept_sha256
+        FROM raw LEFT JOIN cut USING (doc_id)
+    """,
     "op6_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         s AS (SELECT page_id, octet_length(payload)::BIGINT AS n, sha1(payload) AS digest FROM p),

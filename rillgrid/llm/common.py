@@ -39,10 +39,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame, small: bool = False) -> DataFrame:
+#: Rows of a checkpoint file, where their number is known beforehand.
+FILE_ROWS = 50_000
+
+
+def checkpointed(df: DataFrame, small: bool = False, rows: int | None = None) -> DataFrame:
     """``df`` computed once, its lineage cut, in the folder that all executors share.
 
-    A ``small`` table, of sums over much larger ones, is kept in fewer files.
+    A ``small`` table, of sums over much larger ones, is kept in fewer files; so is one
+    of about ``rows`` rows, in as many as they need.
     The folder is ``spark.checkpoint.dir``; a local one is made only where that is
     unset, as in tests. Spark removes the files when nothing refers to them any more.
     """
@@ -50,8 +55,11 @@ def checkpointed(df: DataFrame, small: bool = False) -> DataFrame:
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="rillgrid-checkpoint-"))
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if small:
-        df = df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
+        df = df.coalesce(max(8, most // 16))
+    elif rows is not None:
+        df = df.coalesce(min(most, rows // FILE_ROWS + 1))
     return df.checkpoint(eager=True)
 
 
@@ -99,7 +107,8 @@ def components(edges: DataFrame) -> DataFrame:
     both = checkpointed(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
-    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
+    rows = both.count()
+    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("root")), rows=rows)
     while True:
         heard = (
             both.join(labels, both.b == labels.v)
@@ -110,10 +119,10 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(heard, "v", "left").select(
             "v", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root")
         )
-        step = checkpointed(step)
+        step = checkpointed(step, rows=rows)
         jump = step.select(F.col("v").alias("root"), F.col("root").alias("far"))
         new = checkpointed(
-            step.join(jump, "root", "left").select("v", "old", F.least("root", F.coalesce("far", "root")).alias("root"))
+            step.join(jump, "root", "left").select("v", "old", F.least("root", F.coalesce("far", "root")).alias("root")), rows=rows
         )
         moved = new.where(F.col("root") != F.col("old")).limit(1).count()
         labels = new.select("v", "root")
@@ -147,11 +156,11 @@ BLOCK_BYTES = 1 << 20
 BLOCK_SCHEMA = "block_id long, n_docs int, ids binary, known binary, ends binary, data binary, rest binary"
 
 
-def _pack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], size: int, level: int = 5) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     first, n = TaskContext.get().partitionId() << 32, 0
-    pressed = zstandard.ZstdCompressor(level=5)
+    pressed = zstandard.ZstdCompressor(level=level)
 
     def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         nonlocal n
@@ -193,15 +202,20 @@ def _pack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         yield block(parts)
 
 
-def packed_blocks(documents: DataFrame, doc_id: str, text: str, *rest: str, size: int = BLOCK_BYTES) -> DataFrame:
+def packed_blocks(documents: DataFrame, doc_id: str, text: str, *rest: str, size: int = BLOCK_BYTES, then: Callable | None = None, schema: str = BLOCK_SCHEMA) -> DataFrame:
     """``documents`` as rows of about ``size`` bytes of whole texts, compressed (``BLOCK_SCHEMA``).
 
     A null text is an empty one. ``known`` marks the ids that are not null. Columns
     ``rest`` go along unread. Blocks are numbered by input partition, so a table that
-    reads alike twice makes the same blocks twice.
+    reads alike twice makes the same blocks twice. ``then`` takes the blocks to rows of
+    another ``schema`` in the same task, without a way through the JVM.
     """
     columns = [F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), *[F.col(f"`{c}`") for c in rest]]
-    return documents.select(*columns).mapInArrow(tidied(lambda batches: _pack(batches, size)), BLOCK_SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pack(batches, size) if then is None else then(_pack(batches, size, level=1))
+
+    return documents.select(*columns).mapInArrow(tidied(run), schema)
 
 
 class Block:

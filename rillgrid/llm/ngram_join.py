@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, checkpointed, components, mixed, new_names, prefix_hash, shards, span_hash, tidied, tidy
 
 #: Members, and n-grams of all members, of a block of a candidate group.
-MEMBERS, GRAMS = 512, 1 << 20
+MEMBERS, GRAMS = 256, 1 << 20
 #: Bytes of text hashed in step.
 STEP = 2 << 20
 
@@ -229,7 +229,7 @@ def near_duplicates(
     Each text is signed once. Band hashes are shuffled; texts that share one are
     candidates of one another, and candidates of candidates form a group. Copies, known
     by the digest of their set, count as one member. Each member's full set goes to its
-    group once, and all pairs in it are counted; groups of more than 512 members, or of
+    group once, and all pairs in it are counted; groups of more than 256 members, or of
     very long texts, are cut into blocks and every pair of blocks is a task, so pairs
     are never rows and no group is collected. The classes come from the verified links
     by label passing. Digests and keys have 64 bits.
@@ -248,8 +248,8 @@ def near_duplicates(
     groups = components(stars).select("v", F.col("root").alias("grp"))
     # One row of documents stands for each member.
     stand = signed.where("v is not null").groupBy("v").agg(F.min("row_key").alias("row_key"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"))
-    members = checkpointed(groups.join(stand, "v"))
-    n_members = members.count()
+    n_members = groups.count()
+    members = checkpointed(groups.join(stand, "v"), rows=n_members)
     texts = documents.select(F.xxhash64(doc_id, text).alias("row_key"), F.col(text).alias("text"))
     chosen = members.select("row_key", "v")
     texts = texts.join(F.broadcast(chosen) if n_members <= BROADCAST_ROWS else chosen, "row_key").select("v", "text")
@@ -263,14 +263,16 @@ def near_duplicates(
     work = spread.join(sets.dropDuplicates(["v"]) if _repeats(signed) else sets, "v")
     work = work.withColumn("part", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(4 * parts)).cast("int"))
     found = checkpointed(
-        work.select("part", "grp", "i", "j", "block", "v", "copies", "grams").groupBy("part").applyInArrow(_verified(threshold), "v long, links long, root long")
+        work.select("part", "grp", "i", "j", "block", "v", "copies", "grams").groupBy("part").applyInArrow(_verified(threshold), "v long, links long, root long"),
+        rows=8 * n_members,
     )
     roots = components(found.select(F.col("v").alias("a"), F.col("root").alias("b"))).select("v", "root")
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
     known = checkpointed(
         classes.join(links, "v", "left")
         .join(roots, "v", "left")
-        .select("v", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "v").alias("root"))
+        .select("v", "copies", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "v").alias("root")),
+        rows=signed.count(),
     )
     firsts = known.groupBy("root").agg(F.min("least").alias("class_id"), F.min_by("v", F.struct(F.col("least").isNull(), "least", "v")).alias("first"))
     known = known.join(firsts, "root").select("v", "copies", "links", "class_id", (F.col("v") == F.col("first")).alias("holds"), "least")

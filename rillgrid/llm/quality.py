@@ -7,6 +7,7 @@ back; so the model is never in one place and a frequent n-gram is one entry per
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, checkpointed, packed_blocks, shards, tidied, total_bytes
+from .common import Block, checkpointed, packed_blocks, shards, total_bytes
 
 #: Bytes of an n-gram (5 at most fit the lists), and of the alphabet.
 ORDER, BYTES = 5, 256
@@ -227,14 +228,14 @@ def score(
     trusted = F.coalesce("good", F.lit(False))
     train = trusted & (F.pmod(F.xxhash64("doc_id"), F.lit(KEPT_OUT)) != 0)
     rows = rows.select("doc_id", "text", train.alias("train"), "lang", trusted.alias("trusted"))
-    parts = packed_blocks(rows, "doc_id", "text", "train", "lang", "trusted", size=4 << 20)
+    blocks = functools.partial(packed_blocks, rows, "doc_id", "text", "train", "lang", "trusted", size=4 << 20)
     n = shards(spark, total_bytes(rows, "text") // 8)
-    counts = checkpointed(parts.mapInArrow(tidied(_counted(order)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), small=True)
-    asked = checkpointed(parts.mapInArrow(tidied(_asked(order, n)), "shard int, block_id long, list binary"))
+    counts = checkpointed(blocks(then=_counted(order), schema="gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), small=True)
+    asked = checkpointed(blocks(then=_asked(order, n), schema="shard int, block_id long, list binary"))
     wanted = checkpointed(asked.select("list").mapInArrow(_needed, "gram long").distinct(), small=True)
     model = log_probabilities(counts, wanted, order).withColumn("shard", _shard(F.col("gram"), n))
     answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_answered, "block_id long, shard int, logp binary")
-    return parts.groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInArrow(_scored(order, n), SCORED)
+    return blocks().groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInArrow(_scored(order, n), SCORED)
 
 
 def classify(documents: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, errors: float = ERRORS, **options) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Block, checkpointed, mixed, packed_blocks, power_back, prefix_hash, shards, span_hash, tidied, tidy, total_bytes
+from .common import Block, checkpointed, mixed, packed_blocks, power_back, prefix_hash, shards, span_hash, tidy, total_bytes
 
 #: Bytes of a string that counts as repeated, and of an anchor.
 LEAST, GRAM = 50, 20
@@ -482,7 +482,7 @@ def deduplicate(
     n = shards(spark, total_bytes(documents, text))
     parts = packed_blocks(documents, doc_id, text, *rest)
     by_block = parts.groupBy("block_id")
-    asked = parts.mapInArrow(tidied(_asked(n, least)), "shard int, block_id long, n int, list binary")
+    asked = packed_blocks(documents, doc_id, text, then=_asked(n, least), schema="shard int, block_id long, n int, list binary")
     answers = checkpointed(asked.groupBy("shard").applyInArrow(_answered, "block_id long, shard int, bits binary"))
     sent = by_block.cogroup(answers.groupBy("block_id")).applyInArrow(
         _sent(n, least), "shard int, block_id long, hashes binary, docs binary, sizes binary, data binary"

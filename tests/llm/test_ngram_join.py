@@ -61,7 +61,7 @@ def test_links_and_classes_against_all_pairs(documents, rows, nothing):
     assert ngram_join.near_duplicates(nothing).count() == 0
 
 
-@pytest.mark.parametrize("members", [512, 7])
+@pytest.mark.parametrize("members", [256, 7])
 def test_a_large_group_in_blocks(spark, monkeypatch, members):
     monkeypatch.setattr(ngram_join, "MEMBERS", members)
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", members)

@@ -18,7 +18,7 @@ from .common import tidied
 HOLD, LEAVE = 2048, 512
 
 #: Entries of a worker's table from words to their ids.
-CACHE = 400_000
+CACHE = 800_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed, components, mixed, new_names, prefix_hash, shards, span_hash, tidied, tidy
+from .common import BROADCAST_ROWS, checkpointed, components, join_sized, mixed, new_names, prefix_hash, shards, span_hash, tidied, tidy
 
 #: Members, and n-grams of all members, of a block of a candidate group.
 MEMBERS, GRAMS = 256, 1 << 20
@@ -256,7 +256,7 @@ def near_duplicates(
     sets = texts.mapInArrow(tidied(_grams(n)), "v long, grams binary")
     sizes = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n_grams").alias("g"))
     cut = F.greatest(F.ceil(F.col("m") / MEMBERS), F.ceil(F.col("g") / GRAMS)).cast("int")
-    spread = members.join(sizes.select("grp", cut.alias("cut")), "grp").withColumn("block", F.pmod(F.xxhash64("v"), F.col("cut")).cast("int"))
+    spread = join_sized(members, sizes.select("grp", cut.alias("cut")), "grp", F.xxhash64("v")).withColumn("block", F.pmod(F.xxhash64("v"), F.col("cut")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     spread = spread.select("v", "grp", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     parts = shards(spark, members.agg(F.coalesce(F.sum("n_grams"), F.lit(0)).alias("g")).first()["g"] * 8)

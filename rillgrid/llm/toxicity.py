@@ -115,7 +115,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, given: np.ndarray, prior: float, rounds: int = 30, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of each row's label, each voter's accuracy, and the voters' correlations.
 
     A label drawn with ``prior`` makes each voter fire with a probability of its own for
@@ -124,30 +124,32 @@ def label_model(votes: np.ndarray, given: np.ndarray, prior: float, rounds: int
     often they are wrong. Expectation maximisation starts from "any vote means toxic".
     Votes that are correlated within a label count less: each voter's log odds are divided by
     the sum of its correlations with all voters, so a group of voters that always fire
-    together weighs as one.
+    together weighs as one. ``weight`` is how many rows each row stands for.
     """
     n, m = votes.shape
+    weight = np.ones(n) if weight is None else weight
     fired = votes.any(axis=1)
     belief = np.where(fired, 0.9, 0.02)
     trusted = np.where(given > 0, 1, -1) * math.log(TRUST / (1 - TRUST))
     corr = np.eye(m)
     hit = np.full(m, 0.5)
     for _ in range(rounds):
-        w1, w0 = belief.sum(), (1 - belief).sum()
-        p1 = (belief @ votes + 0.5) / (w1 + 1)
-        p0 = ((1 - belief) @ votes + 0.05) / (w0 + 1)
+        b1, b0 = weight * belief, weight * (1 - belief)
+        w1, w0 = b1.sum(), b0.sum()
+        p1 = (b1 @ votes + 0.5) / (w1 + 1)
+        p0 = (b0 @ votes + 0.05) / (w0 + 1)
         p0 = np.minimum(p0, p1 / 2)  # a voter speaks for toxic text, never against it
         centred = votes - np.outer(belief, p1) - np.outer(1 - belief, p0)
-        cov = centred.T @ centred / max(1, n)
+        cov = centred.T @ (centred * weight[:, None]) / max(1, weight.sum())
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = np.clip(cov / np.outer(sd, sd), -1, 1)
         np.fill_diagonal(corr, 1)
         share = 1 / np.maximum(np.where(corr > 0.5, corr, 0).sum(axis=1), 1)
         # A voter that abstains says nothing; that none votes is a vote for clean text.
-        none = math.log(((belief @ ~fired) + 0.5) / (w1 + 1)) - math.log(((1 - belief) @ ~fired + 0.5) / (w0 + 1))
+        none = math.log(((b1 @ ~fired) + 0.5) / (w1 + 1)) - math.log((b0 @ ~fired + 0.5) / (w0 + 1))
         odds = math.log(prior / (1 - prior)) + trusted + votes @ (share * np.log(p1 / p0)) + np.where(fired, 0, none)
         new = _sigmoid(odds)
-        hit = (belief @ votes) / np.maximum(votes.sum(axis=0), 1)
+        hit = (b1 @ votes) / np.maximum(weight @ votes, 1)
         if np.abs(new - belief).max(initial=0) < 1e-4:
             belief = new
             break
@@ -155,15 +157,16 @@ def label_model(votes: np.ndarray, given: np.ndarray, prior: float, rounds: int
     return belief, hit, corr
 
 
-def logistic(x: np.ndarray, target: np.ndarray, rounds: int = 30, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Newton's method; ``ridge`` is per row."""
+def logistic(x: np.ndarray, target: np.ndarray, rounds: int = 30, ridge: float = 1e-5, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by Newton's method; ``ridge`` is per row, ``weight`` how many rows each stands for."""
     n, m = x.shape
+    weight = np.ones(n) if weight is None else weight
     x1 = np.column_stack([x, np.ones(n)]).astype(np.float64)
     w, penalty = np.zeros(m + 1), n * np.append(np.full(m, ridge), 1e-9)
     for _ in range(rounds):
         p = _sigmoid(x1 @ w)
-        slope = x1.T @ (target - p) - penalty * w
-        step = np.linalg.solve((x1 * (p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(penalty), slope)
+        slope = x1.T @ (weight * (target - p)) - penalty * w
+        step = np.linalg.solve((x1 * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x1 + np.diag(penalty), slope)
         step *= min(1, 5 / max(1e-9, np.abs(step).max()))
         w += step
         if np.abs(step).max() < 1e-6:
@@ -194,9 +197,15 @@ def fit(
     Terms with enough evidence for toxic text are pattern voters beside the fixed
     lexicon. Only their votes on the sample, one byte each, reach the driver, where the
     label model and the classifier are fitted.
+
+    The classes are sampled apart, so each sampled row stands for as many labelled rows as
+    its class has for each one sampled: precision, prior, label model and classifier are
+    those of all labels at every size. Evidence is that of the rows really read.
     """
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).dropna().where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("y").alias("y")).withColumn("draw", F.xxhash64(F.lit(seed), "id"))
+    size = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    stands = [max(1.0, size.get(y, 0) / max(1, most)) for y, most in ((0, sample_clean), (1, sample_toxic))]
     clean = known.where("y = 0").orderBy("draw", "id").limit(sample_clean)
     toxic = known.where("y = 1").orderBy("draw", "id").limit(sample_toxic)
     picked = clean.unionByName(toxic).select("id", "y")
@@ -227,7 +236,8 @@ def fit(
         gain = 2 * (
             part(k1, float(n1), rate) + part(k0, float(n0), rate) + part(n1 - k1, float(n1), 1 - rate) + part(n0 - k0, float(n0), 1 - rate)
         )
-        good = counts.where((F.col("term") != "") & (k1 >= 3) & (k1 / (k1 + k0 + 1) >= PRECISION) & (rate < 1)).withColumn("gain", gain).where(F.col("gain") >= EVIDENCE)
+        precision = k1 * stands[1] / (k1 * stands[1] + (k0 + 1) * stands[0])
+        good = counts.where((F.col("term") != "") & (k1 >= 3) & (precision >= PRECISION) & (rate < 1)).withColumn("gain", gain).where(F.col("gain") >= EVIDENCE)
         # A voter whose word has a start that votes already would never vote alone.
         starts: set[str] = set()
         for row in good.orderBy(F.desc("gain"), F.length("term"), "term").limit(20 * VOTERS).collect():
@@ -248,9 +258,12 @@ def fit(
     if not rows:
         return Model(voters, np.append(np.full(len(voters), 2.0), 4.0), -4.0)
     votes = np.array([np.unpackbits(np.frombuffer(r[1], dtype=np.uint8), count=len(voters)) for r in rows], dtype=np.float32)
-    prior = min(0.5, max(0.01, n1 / max(1, n1 + n0)))
-    belief, accuracy, _ = label_model(votes, np.array([r[0] for r in rows]), prior)
-    weights, bias = logistic(_features(votes), belief)
+    given = np.array([r[0] for r in rows])
+    weight = np.where(given > 0, stands[1], stands[0])
+    prior = min(0.5, max(0.01, float(weight[given > 0].sum() / weight.sum())))
+    weight = weight / weight.mean()  # the constants of the fits are meant for so many rows
+    belief, accuracy, _ = label_model(votes, given, prior, weight=weight)
+    weights, bias = logistic(_features(votes), belief, weight=weight)
     return Model(voters, weights, bias, accuracy)
 
 

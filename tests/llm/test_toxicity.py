@@ -63,3 +63,33 @@ def test_no_labels_and_no_documents(corpus, nothing, spark):
     model = toxicity.fit(corpus[0], none)
     assert model.scores(["you idiot", "hello"])[0] >= 0.5 > model.scores(["", "hello"])[1]
     assert toxicity.score(nothing, toxicity.fit(nothing, corpus[1]), "s").count() == 0
+
+
+def test_a_capped_sample_means_what_all_labels_mean(spark):
+    """A word that is toxic four times in five is no voter, however the classes are sampled."""
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}" for a in ("ba", "lo", "mi", "ter") for b in ("ran", "sto", "vel") for c in ("do", "ki", "nu", "sa")]
+    rows, labels = [], []
+    for k in range(4000):
+        toxic = k % 10 == 0
+        text = rng.choices(words, k=20) + ["grubzen"] * (toxic and rng.random() < 0.6) + ["quorx"] * (rng.random() < (0.4 if toxic else 0.01))
+        rows.append((k, " ".join(text)))
+        labels.append((k, 1, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    every, capped = toxicity.fit(docs, known), toxicity.fit(docs, known, sample_clean=800)
+    for model in (every, capped):
+        assert any(v[1:4] == "gru" for v in model.voters) and not any(v[1:4] == "quo" for v in model.voters)
+    assert abs(every.bias - capped.bias) < 0.3
+    assert np.allclose(every.scores(["grubzen", "idiot", "batter"]), capped.scores(["grubzen", "idiot", "batter"]), atol=0.05)
+
+
+def test_weights_stand_for_rows():
+    rng = np.random.default_rng(1)
+    y = rng.random(300) < 0.3
+    votes = np.column_stack([np.where(y, rng.random(300) < 0.6, rng.random(300) < 0.05) for _ in range(3)]).astype(np.float32)
+    times = np.where(y, 1, 4)
+    a = toxicity.label_model(votes, y, 0.1, weight=times.astype(float))
+    b = toxicity.label_model(np.repeat(votes, times, axis=0), np.repeat(y, times), 0.1)
+    assert np.allclose(np.repeat(a[0], times), b[0], atol=1e-6) and np.allclose(a[1], b[1], atol=1e-6)
+    x, z = toxicity.logistic(votes, a[0], ridge=0, weight=times.astype(float)), toxicity.logistic(np.repeat(votes, times, axis=0), np.repeat(a[0], times), ridge=0)
+    assert np.allclose(x[0], z[0], atol=1e-4) and abs(x[1] - z[1]) < 1e-4

@@ -27,7 +27,9 @@ TRUSTED_IDS = 1_000_000
 KEPT_OUT = 5
 #: The quantile of the trusted documents' perplexity above which a document goes, and the
 #: standard errors by which a text must be above it.
-QUANTILE, ERRORS = 0.99, 3.0
+QUANTILE, ERRORS = 0.99, 0.0
+#: Bytes from which a text is of the next length class: a short text's perplexity strays more.
+LENGTHS = (100, 300)
 
 
 def grams(block: Block, order: int, docs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -241,18 +243,25 @@ def score(
 def classify(documents: DataFrame, labels: DataFrame, *, quantile: float = QUANTILE, errors: float = ERRORS, **options) -> DataFrame:
     """The columns of ``score`` but ``train``, with ``threshold`` and ``keep``.
 
-    A language's threshold is the quantile of the perplexity of its trusted documents
-    that were not trained on; a language without any has the quantile over all of
-    them, and without labels there is no threshold. A text goes if its perplexity,
-    less ``errors`` standard errors, is above the threshold; empty texts stay. A null
-    language is a language of its own; an empty table gives no rows.
+    Texts are judged by language and length class (``LENGTHS``). The threshold is the
+    quantile of the perplexity of the trusted documents of both that were not trained on;
+    where there are none, of those of the language, then of all; without labels there is
+    no threshold. It is never below the quantile over all trusted documents of that
+    language and class, as a few kept out say little of a tail. A text goes if its
+    perplexity, less ``errors`` standard errors, is above the threshold; empty texts
+    stay. A null language is a language of its own; an empty table gives no rows.
     """
     rows = checkpointed(score(documents, labels, **options))
-    judged = rows.where("trusted and not train and log_perplexity is not null")
-    at = F.percentile_approx("log_perplexity", F.lit(quantile), F.lit(10_000))
-    by_lang = judged.groupBy("lang").agg(at.alias("own")).withColumnRenamed("lang", "of")
-    every = judged.agg(at.alias("every")).first()["every"]
-    whole = rows.join(by_lang, rows.lang.eqNullSafe(by_lang.of), "left")
-    threshold = F.coalesce("own", F.lit(every).cast("double"))
+    length = F.size(F.filter(F.array(*[F.lit(n) for n in LENGTHS]), lambda n: n <= F.col("n_bytes")))
+    rows = rows.withColumn("length", length)
+    judged = rows.where("trusted and log_perplexity is not null")
+    at = lambda x: F.percentile_approx(x, F.lit(quantile), F.lit(10_000))
+    kept_out = F.when(~F.col("train"), F.col("log_perplexity"))
+    by_class = judged.groupBy(F.col("lang").alias("of"), F.col("length").alias("long")).agg(at(kept_out).alias("own"), at(F.col("log_perplexity")).alias("least"))
+    by_lang = judged.groupBy(F.col("lang").alias("of_any")).agg(at(kept_out).alias("any"))
+    every = judged.agg(at(kept_out).alias("every")).first()["every"]
+    whole = rows.join(by_class, rows.lang.eqNullSafe(by_class.of) & (F.col("length") == F.col("long")), "left")
+    whole = whole.join(by_lang, rows.lang.eqNullSafe(by_lang.of_any), "left")
+    threshold = F.greatest(F.coalesce("own", "any", F.lit(every).cast("double")), "least")
     keep = F.coalesce(F.col("log_perplexity") - F.lit(errors) * F.col("error") <= threshold, F.lit(True))
     return whole.select("doc_id", "lang", "trusted", "n_bytes", "log_perplexity", "error", threshold.alias("threshold"), keep.alias("keep"))

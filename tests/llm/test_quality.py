@@ -90,3 +90,16 @@ def test_without_labels_or_documents(documents, labels, nothing, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert all(r["keep"] for r in quality.classify(documents, none).collect())
     assert quality.classify(nothing, labels).count() == 0
+
+
+def test_short_junk_goes_too(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["river", "stone", "cloud", "winter", "garden", "letter", "window"]
+    clean = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(k, clean(rng.randint(4, 40)), "en") for k in range(600)] + [(1000 + k, clean(3) + "".join(rng.sample("#$%&@!", 3)), "en") for k in range(40)]
+    labels = spark.createDataFrame([(k, 1) for k in range(500)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["keep"] for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    assert not any(got[1000 + k] for k in range(40))
+    assert sum(got[k] for k in range(600)) >= 580

@@ -17,6 +17,8 @@ RARE, COMMON = 1024, 4
 #: term's hash make of it, the 8 parts of each, and twice more 64 parts, of the first 8
 #: before: one term in 8, 64, 512 and 4,096, so that any text has parts of a few terms.
 PARTS, BITS = 8, 3
+#: Marks of the band's terms; as many follow for the terms outside it.
+MARKS = 2 + PARTS + 3 * PARTS * PARTS
 
 #: The band goes to all tasks up to so many terms; a larger one is joined by shuffle.
 LEXICON = 300_000
@@ -51,13 +53,16 @@ def _variable(one: DataFrame, kind: str) -> str:
 
 
 def lexicon(documents: DataFrame, text: str) -> Lexicon:
-    """Terms whose document frequency, over all documents, lies in the band.
+    """Terms whose document frequency, over all different texts, lies in the band.
 
+    Copies count once (texts meet by digest), so they move no term out of the band.
     One in RARE documents at least means at most RARE times the mean number of
     distinct terms, however many documents there are; the size is checked all the same.
     """
-    n = documents.count()
-    counts = documents.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    different = documents.groupBy(F.sha2(whole, 256)).agg(F.first(whole).alias(text))
+    n = different.count()
+    counts = different.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     # In a small table one document in RARE is no frequency at all: two at least.
     rows = checkpointed(counts.where((F.col("df") >= max(2, n / RARE)) & (F.col("df") <= max(2, n / COMMON))).select("term"), small=True)
     size = rows.count()
@@ -82,7 +87,7 @@ def _split(kept: Column, bit: int) -> Column:
 
 
 def _with_marks(df: DataFrame, kept: str, name: str) -> DataFrame:
-    """``name``: 16-bit hashes of a text's sorted terms in each lexicon; null where there are none."""
+    """``name``: MARKS 16-bit hashes of a text's sorted terms in each lexicon; null where there are none."""
     a, b, c, d = parts = new_names(df, "imatch_a", "imatch_b", "imatch_c", "imatch_d")
     out = df.withColumn(a, _split(F.col(kept), 40))
     out = out.withColumn(b, F.flatten(F.transform(a, lambda x: _split(x, 40 + BITS))))
@@ -103,9 +108,9 @@ def with_fingerprint(df: DataFrame, lex: Lexicon, text: str, name: str) -> DataF
     """``df`` and the fingerprint of ``text``, an array of marks, as column ``name``.
 
     Terms in the band, sorted, are hashed for every lexicon; a lexicon that holds none
-    of them gives null. A text with no term in the band is marked by all its terms.
+    of them gives null. Terms outside the band follow in lexicons of their own.
     """
-    found, kept = new_names(df, "imatch_terms", "imatch_kept")
+    found, kept, rest, outside = new_names(df, "imatch_terms", "imatch_kept", "imatch_rest", "imatch_outside")
     if lex.flat is not None:
         flat, starts = F.expr(lex.flat), F.expr(lex.starts)
 
@@ -123,13 +128,18 @@ def with_fingerprint(df: DataFrame, lex: Lexicon, text: str, name: str) -> DataF
         each = out.select(key, F.explode(found).alias(term)).distinct()
         each = each.join(lex.rows.withColumnRenamed("term", term), term).groupBy(key).agg(F.collect_list(term).alias(kept))
         out = out.join(each, key, "left").withColumn(kept, F.coalesce(kept, F.array().cast("array<bigint>"))).drop(key)
-    chosen = F.sort_array(F.when(F.size(kept) > 0, F.col(kept)).otherwise(F.col(found)))
-    out = _with_marks(out.withColumn(kept, chosen), kept, name)
-    return out.select(*df.columns, name)
+    out = out.withColumns({kept: F.sort_array(kept), rest: F.sort_array(F.array_except(found, kept))})
+    out = _with_marks(_with_marks(out, kept, name), rest, outside)
+    return out.withColumn(name, F.concat(name, outside)).select(*df.columns, name)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of equal marks among the lexicons of which either text has a term."""
+    """The share of equal marks among the lexicons of which either text has a term.
+
+    Only the band's lexicons count, unless a text has no term there: then all count, for both.
+    """
+    band = F.get(a, F.lit(0)).isNotNull() & F.get(b, F.lit(0)).isNotNull()
+    a, b = (F.when(band, F.slice(x, 1, MARKS)).otherwise(x) for x in (a, b))
     pairs = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), F.lit(None)).otherwise(x.eqNullSafe(y)))
     some, same = F.size(F.filter(pairs, lambda p: p.isNotNull())), F.size(F.filter(pairs, lambda p: p))
     return F.when(some == 0, F.lit(1.0)).otherwise(same / some).cast("double")

@@ -46,3 +46,20 @@ def test_half_a_text_is_nearer_than_another(spark):
     rows = [(k, " ".join(rng.choices(words, k=150))) for k in range(200)]
     got = fingerprint.edited_against_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r["near_edited"] > r["near_next"] for r in got) >= 190
+
+
+def test_copies_and_texts_outside_the_band(spark):
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    text = lambda: " ".join(rng.choices(words, k=60))
+    copy, own = text(), " ".join(f"u{k}" for k in range(60))
+    rows = [(k, copy if k % 2 else text()) for k in range(100)] + [(101, own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    alone = spark.createDataFrame([r for r in rows if r[1] != copy] + [(1, copy)], "doc_id long, text string")
+    terms = lambda df: {r["term"] for r in fingerprint.lexicon(df, "text").rows.collect()}
+    assert terms(docs) == terms(alone)
+    got = {r["doc_id"]: r for r in fingerprint.edited_against_next(docs).collect()}
+    assert all(got[k]["near_edited"] > max(0.1, got[k]["near_next"]) for k in range(1, 100, 2))
+    assert got[101]["near_edited"] > max(0.1, got[101]["near_next"])

@@ -1,6 +1,6 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of bytes.
 
-Counts come from all trusted text. Every block of texts sends its different n-grams
+Counts come from trusted text but what is kept out. Every block of texts sends its different n-grams
 to shards of the hash space, where they meet the model's probabilities, and gets those
 back; so the model is never in one place and a frequent n-gram is one entry per block.
 """

@@ -129,16 +129,16 @@ def _ranges(n: np.ndarray) -> np.ndarray:
 class RunIndex:
     """A run-compressed Burrows-Wheeler transform of a collection of short strings.
 
-    The transform of all strings, each closed by a separator of its own, is kept as
-    runs of equal symbols: where each run starts, and where its first symbol leads
-    (LF); within a run LF goes up by one. Instead of a sample of the suffix array at
+    The transform of all strings, each closed by a symbol of its own, is kept as runs of
+    equal symbols: where each run starts, and where its first symbol leads (LF); within
+    a run LF goes up by one. Closing symbols, past which nothing is matched, make one run. Instead of a sample of the suffix array at
     run ends, which would give a text place, the ends of the runs of suffixes that
     share their first ``least`` bytes are sampled with the least document among them.
     """
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, least: int):
         self.least, self.sizes = least, sizes
-        # Symbols: byte + 1; 0 closes a string.
+        # Symbols: byte + 1; 0 stands for all closing symbols, the smallest, which differ by string.
         ends = np.cumsum(sizes + 1)
         symbol = np.zeros(int(ends[-1]), dtype=np.int64)
         inside = np.ones(len(symbol), dtype=bool)
@@ -146,12 +146,16 @@ class RunIndex:
         symbol[inside] = data.astype(np.int64) + 1
         owner = np.repeat(np.arange(len(sizes)), sizes + 1)
         self.close = ends - 1
-        # Ranks of suffixes by their first 7, 14, 28 ... symbols; equal ones go by string.
-        padded = np.concatenate([symbol, np.zeros(7, dtype=np.int64)])
+        left = self.close[owner] - np.arange(len(symbol))
+        # Ranks of suffixes by their first k, 2k, 4k ... symbols. One that closes within them is
+        # cut off there and told from others by its string, so no order looks into the next string.
+        bits = len(sizes).bit_length()
+        depth, longest, same = max(1, (63 - bits) // 9), int(sizes.max()) + 1, None
+        padded = np.concatenate([symbol, np.zeros(depth, dtype=np.int64)])
         key = np.zeros(len(symbol), dtype=np.int64)
-        for k in range(7):
-            key = key << 9 | padded[k : k + len(symbol)]
-        depth, longest, same = 7, int(sizes.max()) + 1, None
+        for k in range(depth):
+            key = key << 9 | np.where(left > k, padded[k : k + len(symbol)], 0)
+        key = key << bits | np.where(left < depth, owner + 1, 0)
         rank = np.unique(key, return_inverse=True)[1]
         while depth < longest:
             if same is None and 2 * depth >= least:  # ranks by exactly ``least`` symbols
@@ -464,7 +468,7 @@ def deduplicate(
     """One row per document: ``doc_id, n_bytes, spans, kept`` and the columns ``rest``.
 
     Every byte of the UTF-8 text goes that is covered by a string of ``least`` bytes (32
-    to 255) which also starts in a document with a smaller id; strings are judged on the
+    to 128) which also starts in a document with a smaller id; strings are judged on the
     input and never cross documents. ``spans`` are the maximal removed runs ``(start,
     stop)`` in bytes; ``kept`` is what is left, joined. ``whole_characters`` keeps a
     character of which some byte stays, so that ``kept`` is UTF-8.

@@ -61,3 +61,30 @@ def test_run_index_against_all_places():
         assert len(index.run_start) <= sum(map(len, strings)) + len(strings)
         want = [min(d for t, d in zip(strings, docs, strict=True) if s[p : p + 9] in t) for s in strings for p in range(len(s) - 8)]
         assert index.stream().tolist() == want
+
+
+@pytest.mark.parametrize("letters", [b"ab", b"abcd", bytes(range(256))])
+def test_run_index_on_near_copies(letters):
+    """Strings cut from one text with single edits share tails that different strings follow."""
+    rng = random.Random(1)
+    for _ in range(30):
+        base = bytes(rng.choice(letters) for _ in range(90))
+        strings = []
+        for _ in range(rng.randint(20, 150)):
+            size = rng.randint(50, 81)
+            start = rng.randrange(90 - size)
+            cut = bytearray(base[start : start + size])
+            if rng.random() < 0.7:
+                cut[rng.randrange(size)] = rng.choice(letters)
+            strings.append(bytes(cut))
+        docs = np.array([rng.randint(0, 1000) for _ in strings])
+        index = suffix.RunIndex(np.frombuffer(b"".join(strings), dtype=np.uint8), np.array([len(s) for s in strings]), docs, 50)
+        want = [min(d for t, d in zip(strings, docs, strict=True) if s[p : p + 50] in t) for s in strings for p in range(len(s) - 49)]
+        assert index.stream().tolist() == want
+
+
+def test_whole_table_against_all_strings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in table.collect()]
+    got = suffix.deduplicate(table).collect()
+    assert sorted(((r["doc_id"], r["n_bytes"], tuple((s["start"], s["stop"]) for s in r["spans"]), bytes(r["kept"])) for r in got), key=str) == brute(rows, 50)

@@ -43,23 +43,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 FILE_ROWS = 50_000
 
 
-def checkpointed(df: DataFrame, small: bool = False, rows: int | None = None) -> DataFrame:
-    """``df`` computed once, its lineage cut, in the folder that all executors share.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    A ``small`` table, of sums over much larger ones, is kept in fewer files; so is one
-    of about ``rows`` rows, in as many as they need.
-    The folder is ``spark.checkpoint.dir``; a local one is made only where that is
-    unset, as in tests. Spark removes the files when nothing refers to them any more.
+    A local one is made only where that is unset and the session runs on this machine
+    alone, as in tests; on a cluster executors would not see it, so that is refused.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="rillgrid-checkpoint-"))
+        if where is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            where = tempfile.mkdtemp(prefix="rillgrid-checkpoint-")
+        sc.setCheckpointDir(where)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame, small: bool = False, rows: int | None = None, spread: bool = False) -> DataFrame:
+    """``df`` computed once, its lineage cut, in the folder that all executors share.
+
+    A ``small`` table, of sums over much larger ones, is kept in fewer files; so is one
+    of about ``rows`` rows, in as many as they need. ``spread`` shuffles the rows to
+    these files, so that the work above keeps all its tasks. Spark removes the files
+    when nothing refers to them any more.
+    """
+    checkpoint_dir(df.sparkSession)
     most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if small:
-        df = df.coalesce(max(8, most // 16))
-    elif rows is not None:
-        df = df.coalesce(min(most, rows // FILE_ROWS + 1))
+    files = max(8, most // 16) if small else most if rows is None else min(most, rows // FILE_ROWS + 1)
+    if small or rows is not None:
+        df = df.repartition(files) if spread else df.coalesce(files)
     return df.checkpoint(eager=True)
 
 
@@ -284,10 +297,7 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share; it goes when the session's JVM ends."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        checkpointed(spark.range(0))
-    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path

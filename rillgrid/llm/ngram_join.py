@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, checkpointed, components, join_sized, mixed, new_names, prefix_hash, shards, span_hash, tidied, tidy
 
 #: Members, and n-grams of all members, of a block of a candidate group.
-MEMBERS, GRAMS = 256, 1 << 20
+MEMBERS, GRAMS = 1 << 14, 1 << 21
+#: Pairs that are compared in step.
+PAIRS = 1 << 21
 #: Bytes of text hashed in step.
 STEP = 2 << 20
+#: Parts that the members of a large group are dealt to where they meet its base.
+SALTS = 32
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -149,33 +153,88 @@ def _grams(n: int):
     return run
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members and their group's base to the n-grams that only one of the two has."""
+    for batch in batches:
+        own, base = (batch.column(c).to_pylist() for c in ("grams", "base"))
+        read = lambda x: np.frombuffer(x, dtype=np.uint64)
+        apart = [np.setxor1d(read(x), read(y), assume_unique=True) for x, y in zip(own, base, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("grp", "v", "copies", "n_grams")), pa.array([len(x) for x in apart], pa.int32()), pa.array([x.tobytes() for x in apart], pa.binary())],
+            names=["grp", "v", "copies", "n_grams", "n_apart", "grams"],
+        )
+
+
+class Links:
+    """Which members of two blocks, or of one, reach the threshold on their whole sets.
+
+    A set is given as its difference to a base that all members share (the empty set, or
+    one of them); what two sets have in common follows from their sizes and differences.
+    ``PAIRS`` pairs are looked at at a time. ``links`` counts the copies that each member is
+    linked with; members linked directly or through others have one ``root``.
+    """
+
+    def __init__(self, apart: list[np.ndarray], size: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float):
+        self.size, self.copies, self.threshold = size.astype(np.float64), copies.astype(np.float64), threshold
+        own = np.array([len(x) for x in apart])
+        self.inside = self.size - own
+        _, gram, times = np.unique(np.concatenate(apart), return_inverse=True, return_counts=True)
+        shared = np.cumsum(times > 1) - 1
+        owner = np.repeat(np.arange(len(apart)), own)[times[gram] > 1]
+        column = shared[gram[times[gram] > 1]]
+        order = np.argsort(column, kind="stable")
+        self.owner, self.column = owner[order], column[order]
+        self.links = np.zeros(len(apart))
+        self.root = np.arange(len(apart))
+        step = max(1, PAIRS // max(1, len(left if right is None else right)))
+        for k in range(0, len(left), step):
+            rows = left[k : k + step]
+            columns = left[k:] if right is None else right
+            yes = self._reach(rows, columns)
+            if right is None:
+                yes[:, : len(rows)] &= np.triu(np.ones((len(rows), len(rows)), dtype=bool), 1)
+            self.links[rows] += yes @ self.copies[columns]
+            self.links[columns] += yes.T @ self.copies[rows]
+            self._merge(rows, columns, yes)
+
+    def _reach(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        common = (self.inside[rows][:, None] + self.inside[columns][None, :]) / 2
+        wide = max(64, 4 * PAIRS // len(self.size))
+        end = int(self.column[-1]) + 1 if len(self.column) else 0
+        for low in range(0, end, wide):
+            a, b = np.searchsorted(self.column, [low, low + wide])
+            part = np.zeros((len(self.size), min(wide, end - low)), dtype=np.float32)
+            part[self.owner[a:b], self.column[a:b] - low] = 1
+            common += part[rows] @ part[columns].T
+        union = self.size[rows][:, None] + self.size[columns][None, :] - common
+        return common >= self.threshold * union - 1e-9
+
+    def _merge(self, rows: np.ndarray, columns: np.ndarray, yes: np.ndarray) -> None:
+        """Roots become the least of the roots that the links connect, until none changes."""
+        some_rows, some_columns = yes.any(axis=1), yes.any(axis=0)
+        rows, columns, yes = rows[some_rows], columns[some_columns], yes[some_rows][:, some_columns]
+        top = len(self.root)
+        while len(rows):
+            here, there = self.root[rows], self.root[columns]
+            if min(here.min(), there.min()) == max(here.max(), there.max()):
+                return
+            near = np.minimum(here, np.where(yes, there[None, :], top).min(axis=1))
+            back = np.minimum(there, np.where(yes, near[:, None], top).min(axis=0))
+            to = np.arange(top)
+            np.minimum.at(to, here, near)
+            np.minimum.at(to, there, back)
+            if (to[here] == here).all() and (to[there] == there).all():
+                return
+            while (to[to] != to).any():
+                to = to[to]
+            self.root = to[self.root]
+
+
 def _verified(threshold: float):
     """Groups of candidates to each member's links and one edge to a member it is linked with."""
 
-    def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Which pairs of members, one of each side, reach the threshold on their whole sets."""
-        size = np.array([len(s) for s in sets])
-        _, gram, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(sets)), size)
-        shared = np.flatnonzero(times > 1)
-        column = np.full(len(times), -1, dtype=np.int64)
-        column[shared] = np.arange(len(shared))
-        at = column[gram]
-        owner, at = owner[at >= 0], at[at >= 0]
-        order = np.argsort(at, kind="stable")
-        owner, at = owner[order], at[order]
-        common = np.zeros((len(left), len(right)), dtype=np.float64)
-        wide = 4096
-        for low in range(0, len(shared), wide):
-            a, b = np.searchsorted(at, [low, low + wide])
-            part = np.zeros((len(sets), min(wide, len(shared) - low)), dtype=np.float32)
-            part[owner[a:b], at[a:b] - low] = 1
-            common += part[left] @ part[right].T
-        union = size[left][:, None] + size[right][None, :] - common
-        return common >= threshold * union - 1e-9
-
     def run(table: pa.Table) -> pa.Table:
-        group, i, j, b, v, copies = (table.column(c).to_numpy() for c in ("grp", "i", "j", "block", "v", "copies"))
+        group, i, j, b, v, copies, size = (table.column(c).to_numpy() for c in ("grp", "i", "j", "block", "v", "copies", "n_grams"))
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("grams").to_pylist()]
         out_v, out_links, out_root = [], [], []
         order = np.lexsort((j, i, group))
@@ -185,30 +244,14 @@ def _verified(threshold: float):
             rows = order[a:z]
             same = i[rows[0]] == j[rows[0]]
             left = np.arange(len(rows)) if same else np.flatnonzero(b[rows] == i[rows])
-            right = left if same else np.flatnonzero(b[rows] == j[rows])
-            if not len(left) or not len(right):
+            right = None if same else np.flatnonzero(b[rows] == j[rows])
+            if not len(left) or (right is not None and not len(right)):
                 continue
-            yes = linked([sets[k] for k in rows], left, right)
-            if same:
-                np.fill_diagonal(yes, False)
-            ids, weight = v[rows], copies[rows]
-            links = np.zeros(len(rows), dtype=np.int64)
-            links[left] += yes @ weight[right]
-            if not same:
-                links[right] += yes.T @ weight[left]
-            # Least members spread over the links until all parts agree.
-            root = ids.copy()
-            while True:
-                before = root.copy()
-                top = np.iinfo(np.int64).max
-                root[left] = np.minimum(root[left], np.where(yes, root[right][None, :], top).min(axis=1))
-                root[right] = np.minimum(root[right], np.where(yes.T, root[left][None, :], top).min(axis=1))
-                if (root == before).all():
-                    break
-            some = np.flatnonzero(links)
-            out_v.append(ids[some])
-            out_links.append(links[some])
-            out_root.append(root[some])
+            made = Links([sets[k] for k in rows], size[rows], copies[rows], left, right, threshold)
+            some = np.flatnonzero(made.links)
+            out_v.append(v[rows][some])
+            out_links.append(made.links[some].astype(np.int64))
+            out_root.append(v[rows][made.root[some]])
         tidy()
         join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64), pa.int64())
         return pa.table({"v": join(out_v), "links": join(out_links), "root": join(out_root)})
@@ -216,6 +259,57 @@ def _verified(threshold: float):
     return run
 
 
+def _stars(banded: DataFrame) -> DataFrame:
+    """Edges between texts that share a band, with the same components as all such pairs.
+
+    In each band all meet at the least, their hub. A member keeps one edge, to its least
+    hub; that hub gets one to each of the others, which members of a group mostly share.
+    """
+    meet = banded.groupBy("band").agg(F.min("v").alias("hub"), F.max("v").alias("most")).where("hub < most").select("band", "hub")
+    hubs = banded.join(meet, "band").groupBy("v").agg(F.sort_array(F.collect_set("hub")).alias("hubs"))
+    ends = F.array_union(F.array(F.col("v")), F.slice("hubs", 2, F.size("hubs")))
+    return hubs.select(F.col("hubs")[0].alias("a"), F.explode(ends).alias("b")).where("a <> b").distinct()
+
+
+def _blocks(members: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """Rows ``grp, i, j, block, v, copies, n_grams, grams`` of what each task compares, and their bytes.
+
+    A group within ``MEMBERS`` and ``GRAMS`` is one block of whole sets. Of a larger one
+    the sets go once to a base, the member of median size, and what differs is kept:
+    near copies differ little, so most such groups are one block then too. Only what is
+    larger still is cut into blocks, and each meets each.
+    """
+    sizes = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n_grams").alias("g"))
+    large = checkpointed(sizes.where((F.col("m") > MEMBERS) | (F.col("g") > GRAMS)), rows=1)
+    n_large = large.count()
+    spot = [F.lit(0).alias(c) for c in ("i", "j", "block")]
+    columns = ("grp", "i", "j", "block", "v", "copies", "n_grams", "grams")
+    small = members
+    if n_large:
+        key = large.select("grp")
+        small = members.join(F.broadcast(key) if n_large <= BROADCAST_ROWS else key, "grp", "left_anti")
+    work = small.join(sets(small), "v").select("grp", *spot, "v", "copies", "n_grams", "grams")
+    n_bytes = small.agg(F.coalesce(F.sum("n_grams"), F.lit(0)).alias("g")).first()["g"] * 8
+    if not n_large:
+        return work, n_bytes
+    among = checkpointed(join_sized(members, large.select("grp"), "grp", F.xxhash64("v")))
+    whole = among.join(sets(among), "v")
+    middle = among.groupBy("grp").agg(F.percentile_approx("n_grams", 0.5).alias("middle"))
+    chosen = join_sized(among, middle, "grp", F.xxhash64("v")).groupBy("grp").agg(F.min_by("v", F.struct(F.abs(F.col("n_grams") - F.col("middle")), "v")).alias("v"))
+    base = whole.join(chosen, ["grp", "v"]).select("grp", F.col("grams").alias("base"))
+    # A base can be long, so it is never broadcast; its rows are repeated for the salts instead.
+    wide = base.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = whole.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(wide, ["grp", "salt"])
+    salted = salted.select("grp", "v", "copies", "n_grams", "grams", "base")
+    apart = checkpointed(salted.mapInArrow(tidied(_differences), "grp long, v long, copies long, n_grams int, n_apart int, grams binary"))
+    of_groups = apart.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n_apart") / GRAMS)).cast("int").alias("cut"))
+    cut = join_sized(apart, of_groups, "grp", F.xxhash64("v")).withColumn("block", F.pmod(F.xxhash64("v"), F.col("cut")).cast("int"))
+    n_bytes += cut.agg(F.coalesce(F.sum(F.col("n_apart") * F.col("cut")), F.lit(0)).alias("g")).first()["g"] * 8
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    cut = cut.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return work.unionByName(cut.select(*columns)), n_bytes
+
+
 def near_duplicates(
     documents: DataFrame, *, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -229,10 +323,11 @@ def near_duplicates(
     Each text is signed once. Band hashes are shuffled; texts that share one are
     candidates of one another, and candidates of candidates form a group. Copies, known
     by the digest of their set, count as one member. Each member's full set goes to its
-    group once, and all pairs in it are counted; groups of more than 256 members, or of
-    very long texts, are cut into blocks and every pair of blocks is a task, so pairs
-    are never rows and no group is collected. The classes come from the verified links
-    by label passing. Digests and keys have 64 bits.
+    group once, and all pairs in it are counted, as numbers and never as rows. A group of
+    more than ``MEMBERS`` members or ``GRAMS`` n-grams is compared by what its members
+    differ in from one of them, and only one that is too large even so is cut into
+    blocks; then every pair of blocks is a task, so no group is collected. The classes
+    come from the verified links by label passing. Digests and keys have 64 bits.
 
     A text without words is linked to nothing and is a class by itself, null id or not;
     a text of fewer than ``n`` words is one n-gram. In a class, a null id is above all
@@ -243,29 +338,24 @@ def near_duplicates(
     signed = checkpointed(signatures(documents, doc_id, text, bands, rows, n))
     classes = signed.where("v is not null").groupBy("v").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     banded = signed.where("v is not null").select("v", F.explode("bands").alias("band"))
-    meet = banded.groupBy("band").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a < b").select("band", "a")
-    stars = banded.join(meet, "band").where(F.col("v") != F.col("a")).select("a", F.col("v").alias("b")).distinct()
-    groups = components(stars).select("v", F.col("root").alias("grp"))
+    groups = components(_stars(banded)).select("v", F.col("root").alias("grp"))
     # One row of documents stands for each member.
     stand = signed.where("v is not null").groupBy("v").agg(F.min("row_key").alias("row_key"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"))
     n_members = groups.count()
     members = checkpointed(groups.join(stand, "v"), rows=n_members)
     texts = documents.select(F.xxhash64(doc_id, text).alias("row_key"), F.col(text).alias("text"))
-    chosen = members.select("row_key", "v")
-    texts = texts.join(F.broadcast(chosen) if n_members <= BROADCAST_ROWS else chosen, "row_key").select("v", "text")
-    sets = texts.mapInArrow(tidied(_grams(n)), "v long, grams binary")
-    sizes = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n_grams").alias("g"))
-    cut = F.greatest(F.ceil(F.col("m") / MEMBERS), F.ceil(F.col("g") / GRAMS)).cast("int")
-    spread = join_sized(members, sizes.select("grp", cut.alias("cut")), "grp", F.xxhash64("v")).withColumn("block", F.pmod(F.xxhash64("v"), F.col("cut")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    spread = spread.select("v", "grp", "copies", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    parts = shards(spark, members.agg(F.coalesce(F.sum("n_grams"), F.lit(0)).alias("g")).first()["g"] * 8)
-    work = spread.join(sets.dropDuplicates(["v"]) if _repeats(signed) else sets, "v")
-    work = work.withColumn("part", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(4 * parts)).cast("int"))
-    found = checkpointed(
-        work.select("part", "grp", "i", "j", "block", "v", "copies", "grams").groupBy("part").applyInArrow(_verified(threshold), "v long, links long, root long"),
-        rows=8 * n_members,
-    )
+    repeats = _repeats(signed)
+
+    def sets(of: DataFrame) -> DataFrame:
+        chosen = of.select("row_key", "v")
+        made = texts.join(F.broadcast(chosen) if n_members <= BROADCAST_ROWS else chosen, "row_key").select("v", "text")
+        made = made.mapInArrow(tidied(_grams(n)), "v long, grams binary")
+        return made.dropDuplicates(["v"]) if repeats else made
+
+    work, n_bytes = _blocks(members, sets)
+    parts = 4 * shards(spark, n_bytes)
+    work = work.withColumn("part", F.pmod(F.xxhash64("grp", "i", "j"), F.lit(parts)).cast("int"))
+    found = checkpointed(work.groupBy("part").applyInArrow(_verified(threshold), "v long, links long, root long"), rows=8 * n_members, spread=True)
     roots = components(found.select(F.col("v").alias("a"), F.col("root").alias("b"))).select("v", "root")
     links = found.groupBy("v").agg(F.sum("links").alias("links"))
     known = checkpointed(

@@ -41,6 +41,13 @@ class Lexicon:
     flat: str | None = None
     starts: str | None = None
 
+    def release(self) -> None:
+        """Drop the look-up table; plans made before have its values and stay as they are."""
+        for name in (self.flat, self.starts):
+            if name is not None:
+                self.rows.sparkSession.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {name}")
+        self.flat = self.starts = None
+
 
 def _variable(one: DataFrame, kind: str) -> str:
     """A session variable with the one value of ``one``: in plans, a literal known by its name."""
@@ -145,6 +152,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(some == 0, F.lit(1.0)).otherwise(same / some).cast("double")
 
 
+def _range_of(at: Column, cuts: list[int], wide: int = 64) -> Column:
+    """How many of the sorted ``cuts`` lie below a value: first among each ``wide``-th, then within its stretch."""
+    as_array = lambda x: F.array(*[F.lit(c) for c in x]).cast("array<bigint>")
+    below = lambda x: F.size(F.filter(x, lambda c: c < at))
+    if len(cuts) <= wide:
+        return below(as_array(cuts))
+    coarse = below(as_array(cuts[wide - 1 :: wide]))
+    stretches = F.array(*[as_array(cuts[k : k + wide]) for k in range(0, len(cuts) + 1, wide)])
+    return coarse * wide + below(F.get(stretches, coarse))
+
+
 def edited_against_next(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of all texts, of their edited texts, and their likeness.
 
@@ -155,19 +173,18 @@ def edited_against_next(documents: DataFrame, *, doc_id: str = "doc_id", text: s
     every range finds its neighbours by itself and texts are shuffled once.
 
     A null text is empty; null ids come last; documents of one id are ordered by text,
-    descending; a single document is its own neighbour; an empty table gives no rows;
-    further columns are not read.
+    descending; repeated rows are documents of their own; a single document is its own
+    neighbour; an empty table gives no rows; texts are read whole and further columns not
+    at all. Rows of one id are one range, so ids should not repeat by the million.
     """
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lex = lexicon(rows, "text")
     lowest = -(1 << 63)
     rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(lowest)))
     spark = documents.sparkSession
-    n = min(4096, shards(spark, total_bytes(rows, "text")))
-    cuts = rows.agg(F.percentile_approx("at", [k / n for k in range(1, n)], 10_000).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    rows = rows.withColumn("range", F.size(F.filter(bounds, lambda b: b < F.col("at"))))
+    n = shards(spark, total_bytes(rows, "text"))
+    cuts = rows.agg(F.percentile_approx("at", [k / n for k in range(1, n)], max(10_000, 8 * n)).alias("cuts")).first()["cuts"] or []
+    rows = rows.withColumn("range", _range_of(F.col("at"), sorted(set(cuts))))
     # The first document of each range, handed to the range above it; the topmost wraps.
     tops = rows.groupBy("range").agg(F.max("at").alias("at"))
     above = F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(Window.orderBy("range")))
@@ -183,6 +200,7 @@ def edited_against_next(documents: DataFrame, *, doc_id: str = "doc_id", text: s
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n_chars - half), F.substring(F.col("next_text"), F.lit(1), half))
     made = pair.select("doc_id", n_chars.cast("long").alias("n_chars"), edited.alias("edited_text"), "fingerprint", "next_mark")
     made = with_fingerprint(made, lex, "edited_text", "edited_fingerprint")
+    lex.release()
     return made.select(
         "doc_id",
         "n_chars",

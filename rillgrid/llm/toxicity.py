@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, new_names
 
 #: At most so many labelled rows, clean and toxic, are learned from; a seeded hash picks them.
 SAMPLE_CLEAN, SAMPLE_TOXIC = 16_000, 4_000
@@ -201,6 +201,11 @@ def fit(
     The classes are sampled apart, so each sampled row stands for as many labelled rows as
     its class has for each one sampled: precision, prior, label model and classifier are
     those of all labels at every size. Evidence is that of the rows really read.
+
+    A null id or label teaches nothing; an id labelled both ways counts as toxic; of the
+    rows of a repeated id one text, the least, is read, so the sample keeps its bound. A
+    null text is empty; texts are read whole; further columns are not read. Where no label
+    meets a text, the fixed lexicon votes with equal weights.
     """
     known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).dropna().where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("y").alias("y")).withColumn("draw", F.xxhash64(F.lit(seed), "id"))
@@ -210,7 +215,7 @@ def fit(
     toxic = known.where("y = 1").orderBy("draw", "id").limit(sample_toxic)
     picked = clean.unionByName(toxic).select("id", "y")
     texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(picked), "id").select("y", "text")
+    sample = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text")).select("y", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: tuple[Counter, Counter] = (Counter(), Counter())
@@ -271,8 +276,11 @@ def score(documents: DataFrame, model: Model, name: str = "score", text: str = "
     """``documents`` and the score of each whole text, from 0 to 1.
 
     A null text is an empty one: it scores by the classifier's bias alone. Nothing but
-    the text is read, so equal texts have equal scores.
+    the text is read, so equal texts, repeated rows among them, have equal scores; long
+    texts are read whole. An empty table gives no rows. Where ``documents`` has a column
+    ``name`` already, the score's name gets a leading underscore.
     """
+    (name,) = new_names(documents, name)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:

@@ -1,3 +1,7 @@
+import re
+from collections import Counter
+
+import xxhash
 from pyspark.sql import functions as F
 
 from rillgrid.llm import fingerprint
@@ -63,3 +67,50 @@ def test_copies_and_texts_outside_the_band(spark):
     got = {r["doc_id"]: r for r in fingerprint.edited_against_next(docs).collect()}
     assert all(got[k]["near_edited"] > max(0.1, got[k]["near_next"]) for k in range(1, 100, 2))
     assert got[101]["near_edited"] > max(0.1, got[101]["near_next"])
+
+
+def brute_likeness(texts):
+    """Likeness of any two of the texts, from the terms themselves instead of marks."""
+    word = re.compile(r"[^\W_]+")
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    terms = {t: {signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in word.findall(t.lower())} for t in texts[0] + texts[1]}
+    different = set(texts[0])
+    df = Counter(h for t in different for h in terms[t])
+    n = len(different)
+    band = {h for h, k in df.items() if max(2, n / fingerprint.RARE) <= k <= max(2, n / fingerprint.COMMON)}
+
+    def cells(hashes):
+        part = lambda h, bit: (h & (1 << 64) - 1) >> bit & 7
+        first = [[h for h in hashes if part(h, 40) == k] for k in range(8)]
+        second = [[h for h in x if part(h, 43) == k] for x in first for k in range(8)]
+        third = [[h for h in x if part(h, 46) == k] for x in second[:8] for k in range(8)]
+        fourth = [[h for h in x if part(h, 49) == k] for x in third[:8] for k in range(8)]
+        return [frozenset(x) for x in [hashes, hashes, *first, *second, *third, *fourth]]
+
+    def like(a, b):
+        x, y = terms[a], terms[b]
+        one, two = cells(x & band), cells(y & band)
+        if not (one[0] and two[0]):
+            one, two = one + cells(x - band), two + cells(y - band)
+        some = [(p, q) for p, q in zip(one, two, strict=True) if p or q]
+        return sum(p == q for p, q in some) / len(some) if some else 1.0
+
+    return like
+
+
+def test_likeness_against_the_terms_themselves(spark):
+    """Marks have 16 bits: two different cells agree by chance once in 65,536 times."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    order = sorted(((r["doc_id"], r["text"] or "") for r in table.collect()), reverse=True)
+    after = {d: order[(k + 1) % len(order)][1] for k, (d, _) in enumerate(order)}
+    made = {r["doc_id"]: r for r in fingerprint.edited_against_next(table).collect()}
+    assert len(made) == len(order)
+    like = brute_likeness(([t for _, t in order], [r["edited_text"] for r in made.values()]))
+    far = [d for d, t in order if abs(made[d]["near_edited"] - like(t, made[d]["edited_text"])) > 1e-9 or abs(made[d]["near_next"] - like(t, after[d])) > 1e-9]
+    assert len(far) <= 2, far
+
+
+def test_ranges_of_many_cuts(spark):
+    cuts = [7 * k for k in range(1, 1000)]
+    got = spark.range(-3, 7100, 5).select("id", fingerprint._range_of(F.col("id"), cuts).alias("range")).collect()
+    assert all(r["range"] == sum(c < r["id"] for c in cuts) for r in got)

@@ -48,3 +48,22 @@ def test_the_last_stage_packs_all_that_was_mixed(stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages[4].count()
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_awkward_and_empty_tables(spark, documents, rows, nothing, name):
+    """Nulls in every column, empty and long texts, ties, repeated rows, clashing columns; no rows at all."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    made = stage(spark, documents, SF)
+    got = made.collect()
+    ids = {r[0] for r in rows}
+    assert {r["doc_id"] for r in got} <= ids
+    assert stage(spark, nothing, SF).count() == 0
+    if name != "packing":
+        assert made.dtypes == documents.dtypes
+    if name in ("toxicity", "suffix"):
+        assert len(got) == len(rows)  # none of the fixture's texts is toxic, and a cut text stays
+    if name == "ngram_join":
+        worded = {r[1] for r in rows if r[1] and r[1].split()}
+        assert {r["text"] for r in got if r["text"] and r["text"].split()} <= worded
+        assert len([r for r in got if not (r["text"] or "").split()]) == len([r for r in rows if not (r[1] or "").split()])

@@ -93,3 +93,13 @@ def test_weights_stand_for_rows():
     assert np.allclose(np.repeat(a[0], times), b[0], atol=1e-6) and np.allclose(a[1], b[1], atol=1e-6)
     x, z = toxicity.logistic(votes, a[0], ridge=0, weight=times.astype(float)), toxicity.logistic(np.repeat(votes, times, axis=0), np.repeat(a[0], times), ridge=0)
     assert np.allclose(x[0], z[0], atol=1e-4) and abs(x[1] - z[1]) < 1e-4
+
+
+def test_repeated_ids_and_a_column_named_score(corpus, spark):
+    docs, labels = corpus
+    twice = docs.unionByName(docs).unionByName(docs.where("doc_id < 50"))
+    a, b = toxicity.fit(docs, labels), toxicity.fit(twice, labels.unionByName(labels))
+    assert a.voters == b.voters and np.allclose(a.weights, b.weights)
+    made = toxicity.score(docs, a)
+    assert made.columns == ["doc_id", "text", "score", "_score"]
+    assert {r["score"] for r in made.collect()} == {"zz", "yy", None, "q"}

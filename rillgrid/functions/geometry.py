@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -164,6 +165,20 @@ def to_multi_polygon(wkb: Column) -> Column:
     return promoted(wkb)
 
 
+def polygon_area(wkb: Column) -> Column:
+    """Area of a geometry's polygons, holes taken off; 0 where nothing is polygonal."""
+
+    def ring(points: list) -> float:
+        x, y = np.array(points, dtype=float)[:, :2].T
+        return abs(float(np.dot(x[:-1], y[1:]) - np.dot(x[1:], y[:-1]))) / 2
+
+    @F.pandas_udf("double")
+    def area(wkb: pd.Series) -> pd.Series:
+        return wkb.map(lambda w: float(sum(ring(p[0]) - sum(map(ring, p[1:])) for p in polygons(w)))).astype(float)
+
+    return area(wkb)
+
+
 def clip_ring(ring: list, box: tuple[float, float, float, float]) -> list:
     """A ring cut to a box (Sutherland and Hodgman 1974)."""
     minx, miny, maxx, maxy = box
@@ -220,3 +235,36 @@ def simplify(points: list, tolerance: float) -> list:
             keep.add(at)
             todo += [(a, at), (at, b)]
     return [points[k] for k in sorted(keep)]
+
+
+def segment_parts(x0: float, y0: float, x1: float, y1: float, wkb: bytes | None) -> list[tuple[float, float]]:
+    """The parts of a segment inside a geometry's polygons, as distances from its start.
+
+    The segment is cut where it crosses a ring; a part counts if its middle is inside, by
+    an odd number of rings. A part along a border is inside if the polygon lies above it
+    or, for an upright one, to its right.
+    """
+    rings = [r for p in polygons(wkb) for r in p]
+    whole = ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5
+    if not rings or whole == 0:
+        return []
+    p = np.concatenate([np.array(r, dtype=float)[:-1, :2] for r in rings])
+    q = np.concatenate([np.array(r, dtype=float)[1:, :2] for r in rings])
+    dx, dy, ex, ey = x1 - x0, y1 - y0, q[:, 0] - p[:, 0], q[:, 1] - p[:, 1]
+    turn = dx * ey - dy * ex
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = ((p[:, 0] - x0) * ey - (p[:, 1] - y0) * ex) / turn
+        u = ((p[:, 0] - x0) * dy - (p[:, 1] - y0) * dx) / turn
+    hit = (turn != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)
+    cuts = np.unique(np.concatenate([[0.0, 1.0], t[hit]]))
+    out: list[tuple[float, float]] = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        x, y = x0 + dx * (a + b) / 2, y0 + dy * (a + b) / 2
+        across = (p[:, 1] > y) != (q[:, 1] > y)
+        crossed = across & (x < ex * (y - p[:, 1]) / np.where(across, ey, 1.0) + p[:, 0])
+        if crossed.sum() % 2:
+            if out and out[-1][1] == a * whole:
+                out[-1] = (out[-1][0], b * whole)
+            else:
+                out.append((a * whole, b * whole))
+    return out

@@ -24,12 +24,12 @@ def status_report(masks: DataFrame, done: DataFrame, name: str = "name", sub: st
     rows = masks.withColumn("package", expected_package(F.col(name))).join(done.select(F.col(name).alias("package"), F.lit(True).alias("ok")), "package", "left")
     left = F.col("ok").isNull()
     opened = F.sort_array(F.collect_list(F.when(left, F.struct(natural_key(F.col(sub).cast("string")).alias("k"), F.col(sub).cast("string").alias("s")))))
-    out = rows.rollup("tile_id").agg(
-        F.grouping("tile_id").cast("int").alias("is_sum"), F.count("*").alias("total"), F.count("ok").alias("done"), F.count_if(left).alias("balance"), opened.alias("opened")
-    )
-    pending_list = F.when(F.col("is_sum") == 1, F.lit("")).otherwise(F.array_join(F.transform("opened", lambda x: x["s"]), ","))
-    label = F.when(F.col("is_sum") == 1, F.lit("SUM")).otherwise(F.col("tile_id").cast("string"))
-    return out.select(label.alias("tile_id"), "total", "done", "balance", pending_list.alias("pending"))
+    tiles = rows.groupBy("tile_id").agg(F.count("*").alias("total"), F.count("ok").alias("done"), F.count_if(left).alias("balance"), opened.alias("opened"))
+    listed = F.array_join(F.transform("opened", lambda x: x["s"]), ",")
+    each = tiles.select(F.col("tile_id").cast("string").alias("tile_id"), "total", "done", "balance", listed.alias("pending"))
+    # The sum adds counts of tasks; it has no list.
+    whole = rows.agg(F.count("*").alias("total"), F.count("ok").alias("done"), F.count_if(left).alias("balance"))
+    return each.unionByName(whole.select(F.lit("SUM").alias("tile_id"), "total", "done", "balance", F.lit("").alias("pending")))
 
 
 def round_robin(rows: DataFrame, order: Sequence[str], world: int, rank: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import SIGMA, delta_days, exposure, try_date
 from ..functions.numbers import clamp01
-from .spatial import merged_length, points_in_boxes, segments_in_boxes
+from .spatial import merged_length, points_in_boxes, segments_in_boxes, segments_in_polygons
 
 
 def cutline_attributes(cutlines: DataFrame, date: str = "acqdate", sigma: float = SIGMA, **peak) -> DataFrame:
@@ -37,14 +37,16 @@ def node_exposure(points: DataFrame, cutlines: DataFrame, size: float, node: str
     return out.withColumns({"norm_input_exp": F.coalesce("norm_input_exp", F.lit(0.0)), "input_exp_cnt": F.coalesce("input_exp_cnt", F.lit(0))})
 
 
-def edge_exposure(segments: DataFrame, cutlines: DataFrame, size: float, edge: str = "edge_id", date: str = "acqdate", group: Sequence[str] | None = None) -> DataFrame:
+def edge_exposure(segments: DataFrame, cutlines: DataFrame, size: float, edge: str = "edge_id", date: str = "acqdate", group: Sequence[str] | None = None, geom: str | None = None) -> DataFrame:
     """Weights of dates averaged by the share of an edge each covers, and how many do.
 
-    With ``group`` the segments of a group are one feature.
+    With ``group`` the segments of a group are one feature. Cutlines are boxes, or where
+    ``geom`` names their WKB, polygons within these boxes. Parts of one date are merged
+    along each segment, so cutlines that overlap count once.
     """
     group = list(group or [edge])
     weighed = cutline_attributes(cutlines.where(F.col(date).isNotNull()), date)
-    pairs = segments_in_boxes(segments, weighed, size)
+    pairs = segments_in_boxes(segments, weighed, size) if geom is None else segments_in_polygons(segments, weighed, size, geom)
     covered = merged_length(pairs.select(*group, edge, date, "norm_input_exp", "lo", "hi") if edge not in group else pairs, list(dict.fromkeys([*group, edge, date, "norm_input_exp"])))
     covered = covered.groupBy(*group, date, "norm_input_exp").agg(F.sum("covered").alias("covered"))
     found = covered.groupBy(*group).agg(

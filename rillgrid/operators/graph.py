@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,9 @@ from ..storage import checkpointed
 #: Half of the eight neighbours: each pair of pixels is found from one side.
 OFFSETS = ((0, 1), (1, -1), (1, 0), (1, 1))
 
+#: A mask of at most so many pixels is one group of one task.
+MASK_PIXELS = 8_000_000
+
 
 def nodes(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pixels numbered from 0 in each mask, by row and column."""
@@ -88,29 +91,86 @@ def _links(r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(src), np.concatenate(dst)
 
 
-def components(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Nodes with the number of their component in the mask, counted by least node.
+def _placed(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return pixels.select(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
 
-    Masks share no pixels, so each is one group of one task, labelled by numpy; a mask
-    too large for that goes through ``components_distributed``.
-    """
-    kinds = dict(pixels.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
 
-    def label(table: pa.Table) -> pa.Table:
+def _schema(df: DataFrame, keys: Sequence[str]) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+
+def large_masks(pixels: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The masks of more than ``MASK_PIXELS`` pixels, or None if there are none."""
+    found = checkpointed(pixels.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > MASK_PIXELS).select(*keys))
+    return found if found.limit(1).count() else None
+
+
+def _by_size(pixels: DataFrame, keys: Sequence[str], whole: Callable, cut: Callable) -> DataFrame:
+    """``whole`` for masks that fit a task, ``cut`` for the larger ones."""
+    large = large_masks(pixels, keys)
+    if large is None:
+        return whole(pixels, keys)
+    return whole(pixels.join(large, list(keys), "left_anti"), keys).unionByName(cut(pixels.join(large, list(keys), "left_semi"), keys))
+
+
+class Mask:
+    """A mask's pixels by row and column, its graph, components and key nodes."""
+
+    def __init__(self, table: pa.Table):
         r, c = (table.column(x).to_numpy().astype(np.int64) for x in ("r", "c"))
         order = np.lexsort((c, r))
-        r, c = r[order], c[order]
-        root = _roots(len(r), *_links(r - r.min(), c - c.min()))
-        number = np.unique(root, return_inverse=True)[1]
-        out = {k: table.column(k) for k in keys}
-        return pa.table({**out, "r": pa.array(r), "c": pa.array(c), "node_id": pa.array(np.arange(len(r))), "root": pa.array(root), "component_id": pa.array(number)})
+        self.r, self.c = r[order], c[order]
+        src, dst = _links(self.r - self.r.min(), self.c - self.c.min())
+        self.root = _roots(len(r), src, dst)
+        a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
+        by = np.lexsort((b, a))
+        self.a, self.b = a[by], b[by]
+        self.degree = np.bincount(a, minlength=len(r))
+        self.part = np.unique(self.root, return_inverse=True)[1]
+        other = np.zeros(len(r), dtype=bool)
+        np.logical_or.at(other, self.root, self.degree != 2)
+        self.key = (self.degree != 2) | (~other[self.root] & (self.root == np.arange(len(r))))
 
-    return (
-        pixels.select(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
-        .groupBy(*keys)
-        .applyInArrow(label, f"{schema}, r long, c long, node_id long, root long, component_id long")
-    )
+
+def _labelled_whole(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    def label(table: pa.Table) -> pa.Table:
+        m = Mask(table)
+        columns = {"r": m.r, "c": m.c, "node_id": np.arange(len(m.r)), "degree": m.degree, "root": m.root, "component_id": m.part, "is_key": m.key}
+        return pa.table({**{k: table.column(k) for k in keys}, **{k: pa.array(v) for k, v in columns.items()}})
+
+    schema = f"{_schema(pixels, keys)}, r long, c long, node_id long, degree long, root long, component_id long, is_key boolean"
+    return _placed(pixels, keys).groupBy(*keys).applyInArrow(label, schema)
+
+
+def _labelled_cut(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    pixels = _placed(pixels, keys)
+    n = degrees(pixels, keys)
+    labels = components_distributed(pixel_graph(pixels, keys), keys)
+    whole = n.join(labels, [*keys, "node_id"], "left").withColumn("root", F.coalesce("root", "node_id"))
+    group = [*keys, "root"]
+    rings = whole.groupBy(*group).agg(F.min("degree").alias("low"), F.max("degree").alias("high"))
+    number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("root")) - 1
+    parts = rings.withColumn("component_id", number.cast("long")).withColumn("ring", (F.col("low") == 2) & (F.col("high") == 2))
+    out = whole.join(parts.select(*group, "component_id", "ring"), group)
+    key = (F.col("degree") != 2) | (F.col("ring") & (F.col("node_id") == F.col("root")))
+    return out.select(*keys, "r", "c", "node_id", F.col("degree").cast("long").alias("degree"), "root", "component_id", key.alias("is_key"))
+
+
+def labelled(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Nodes ``r, c, node_id, degree, root, component_id, is_key``.
+
+    Components are numbered by their least node, the root. Key nodes end or join
+    branches: all whose degree is not 2, and the least node of a component in which every
+    degree is 2, a ring. Masks share no pixels, so each is one group of one task and one
+    pass of numpy; a mask of more than ``MASK_PIXELS`` is labelled by joins instead.
+    """
+    return _by_size(pixels, keys, _labelled_whole, _labelled_cut)
+
+
+def components(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Nodes with the number of their component in the mask, counted by least node."""
+    return labelled(pixels, keys).select(*keys, "r", "c", "node_id", "root", "component_id")
 
 
 def components_distributed(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -127,18 +187,6 @@ def components_distributed(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
             return labels
 
 
-def labelled(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Nodes with degree, component and whether they are key nodes.
-
-    Key nodes end or join branches: all whose degree is not 2, and the least node of a
-    component in which every degree is 2, a ring.
-    """
-    whole = degrees(pixels, keys).join(components(pixels, keys).drop("node_id"), [*keys, "r", "c"])
-    mine = Window.partitionBy(*keys, "component_id")
-    ring = (F.min("degree").over(mine) == 2) & (F.max("degree").over(mine) == 2) & (F.col("node_id") == F.col("root"))
-    return whole.withColumn("is_key", (F.col("degree") != 2) | ring)
-
-
 def key_nodes(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Key nodes with flags as the layers have them, and a running number."""
     found = labelled(pixels, keys).where("is_key")
@@ -151,71 +199,111 @@ def key_nodes(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _walk(adjacent: list[list[int]], key: list[bool]) -> list[list[int]]:
-    """Chains of nodes between key nodes, each once, from the key node that comes first."""
-    seen, chains = set(), []
-    for start in range(len(adjacent)):
-        if not key[start]:
-            continue
-        for step in adjacent[start]:
-            if (start, step) in seen:
-                continue
-            chain = [start, step]
-            while not key[chain[-1]]:
-                a, b = adjacent[chain[-1]]
-                chain.append(b if a == chain[-2] else a)
-            seen |= {(start, step), (chain[-1], chain[-2])}
-            chains.append(chain)
-    return chains
-
+def _chains(a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Branches of a graph given by both directions ``a -> b`` of its edges, sorted.
 
-def branches(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Branches ``edge_id, node_id_a, node_id_b, component_id, n_pixels, is_open_edge, points``.
-
-    ``points`` are the pixels along the branch, both ends included; a ring starts and
-    ends at its seed. ``edge_id`` follows the key node and neighbour a branch starts by.
+    Returns the steps of all branches in order, as indices of edges, and where each
+    branch starts and stops in them. A branch starts at the end and step that come first.
+    Chains are followed by pointer doubling, so a long one costs few rounds.
     """
-    kinds = dict(pixels.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    point = pa.struct([("r", pa.int64()), ("c", pa.int64())])
+    n, here = len(a), np.arange(len(a))
+    twin = np.lexsort((a, b))  # the same edge the other way: edges sorted by (b, a)
+    first = np.searchsorted(a, b)  # of the two steps on from a node that is no key, the one that does not go back
+    last = np.minimum(first + 1, n - 1)
+    ends = key[b]
+    onward = np.where(ends, here, np.where(b[np.minimum(first, n - 1)] == a, last, np.minimum(first, n - 1)))
+    to, far = onward.copy(), np.where(ends, 0, 1)
+    while True:
+        far, new = far + far[to], to[to]
+        if (new == to).all():
+            break
+        to = new
+    # An edge's branch starts where the way back from it ends.
+    start, place = twin[to[twin]], far[twin]
+    kept = key[a[start]] & (start < twin[to[start]])
+    steps = np.flatnonzero(kept)
+    steps = steps[np.lexsort((place[steps], start[steps]))]
+    cut = np.flatnonzero(np.concatenate([[True], start[steps][1:] != start[steps][:-1]])) if len(steps) else steps
+    return steps, cut, np.append(cut, len(steps))[1:] if len(cut) else cut
+
+
+def _lines(a: np.ndarray, b: np.ndarray, key: np.ndarray, r: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray | pa.Array]:
+    """The branches as columns: ends, first step, number of pixels, points."""
+    steps, start, stop = _chains(a, b, key) if len(a) else (np.zeros(0, dtype=np.int64),) * 3
+    size = stop - start + 1
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    nodes = np.empty(int(offsets[-1]), dtype=np.int64)
+    inner = np.ones(len(nodes), dtype=bool)
+    inner[offsets[1:] - 1] = False
+    nodes[inner], nodes[~inner] = a[steps], b[steps[stop - 1]] if len(stop) else steps
+    points = pa.StructArray.from_arrays([pa.array(r[nodes]), pa.array(c[nodes])], names=["r", "c"])
+    return {
+        "a": a[steps[start]] if len(start) else steps, "step": b[steps[start]] if len(start) else steps, "b": b[steps[stop - 1]] if len(stop) else steps,
+        "n_pixels": size, "points": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), points),
+    }
+
+
+BRANCH = "node_id_a long, node_id_b long, component_id long, n_pixels long, is_open_edge int, points array<struct<r: long, c: long>>"
+
+
+def _branches_whole(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    def trace(table: pa.Table) -> pa.Table:
+        m = Mask(table)
+        x = _lines(m.a, m.b, m.key, m.r, m.c)
+        n = len(x["a"])
+        return pa.table({
+            **{k: pa.array([table.column(k)[0].as_py()] * n, table.column(k).type) for k in keys},
+            "edge_id": pa.array(np.arange(n)), "node_id_a": pa.array(x["a"]), "node_id_b": pa.array(x["b"]), "component_id": pa.array(m.part[x["a"]], pa.int64()),
+            "n_pixels": pa.array(x["n_pixels"], pa.int64()), "is_open_edge": pa.array((~m.key[x["b"]]).astype(np.int32)), "points": x["points"],
+        })
+
+    return _placed(pixels, keys).groupBy(*keys).applyInArrow(trace, f"{_schema(pixels, keys)}, edge_id long, {BRANCH}")
+
+
+def _branches_cut(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Branches of masks that no task holds: pass-through pixels that touch make paths, and each path is one group."""
+    n = checkpointed(_labelled_cut(pixels, keys))
+    side = lambda end: n.select(*keys, F.col("node_id").alias(end), *[F.col(x).alias(f"{end}_{x}") for x in ("r", "c", "is_key", "component_id")])
+    steps = both_ways(pixel_graph(_placed(pixels, keys), keys), keys).join(side("src"), [*keys, "src"]).join(side("dst"), [*keys, "dst"])
+    steps = checkpointed(steps)
+    paths = components_distributed(steps.where("NOT src_is_key AND NOT dst_is_key").select(*keys, "src", "dst"), keys)
+    owner = F.when(F.col("src_is_key"), F.when(F.col("dst_is_key"), F.lit(None)).otherwise(F.col("dst"))).otherwise(F.col("src"))
+    steps = steps.withColumn("owner", owner)
+    found = steps.where("owner IS NOT NULL").join(paths.withColumnsRenamed({"node_id": "owner", "root": "path"}), [*keys, "owner"], "left")
+    found = found.withColumn("path", F.coalesce("path", "owner"))
 
     def trace(table: pa.Table) -> pa.Table:
-        r, c = (table.column(x).to_numpy().astype(np.int64) for x in ("r", "c"))
-        order = np.lexsort((c, r))
-        r, c = r[order], c[order]
-        src, dst = _links(r - r.min(), c - c.min())
-        root = _roots(len(r), src, dst)
-        a, b = np.concatenate([src, dst]), np.concatenate([dst, src])
+        src, dst = table.column("src").to_numpy(), table.column("dst").to_numpy()
+        ids, at = np.unique(src, return_index=True)
+        r, c, key, part = (table.column(f"src_{x}").to_numpy(zero_copy_only=False)[at] for x in ("r", "c", "is_key", "component_id"))
+        a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
         by = np.lexsort((b, a))
-        degree = np.bincount(a, minlength=len(r))
-        adjacent = [x.tolist() for x in np.split(b[by], np.cumsum(degree)[:-1])]
-        other = np.zeros(len(r), dtype=bool)
-        np.logical_or.at(other, root, degree != 2)
-        key = (degree != 2) | (~other[root] & (root == np.arange(len(r))))
-        chains = _walk(adjacent, key.tolist())
-        part = np.unique(root, return_inverse=True)[1]
-        n = len(chains)
-        out = {k: pa.array([table.column(k)[0].as_py()] * n, table.column(k).type) for k in keys}
+        x = _lines(a[by], b[by], key, r, c)
+        size = len(x["a"])
         return pa.table({
-            **out,
-            "edge_id": pa.array(np.arange(n), pa.int64()),
-            "node_id_a": pa.array([x[0] for x in chains], pa.int64()),
-            "node_id_b": pa.array([x[-1] for x in chains], pa.int64()),
-            "component_id": pa.array([int(part[x[0]]) for x in chains], pa.int64()),
-            "n_pixels": pa.array([len(x) for x in chains], pa.int64()),
-            "is_open_edge": pa.array([int(not key[x[-1]]) for x in chains], pa.int32()),
-            "points": pa.array([[{"r": int(r[k]), "c": int(c[k])} for k in x] for x in chains], pa.list_(point)),
-        })
+            **{k: pa.array([table.column(k)[0].as_py()] * size, table.column(k).type) for k in keys},
+            "step": pa.array(ids[x["step"]]), "node_id_a": pa.array(ids[x["a"]]), "node_id_b": pa.array(ids[x["b"]]), "component_id": pa.array(part[x["a"]]),
+            "n_pixels": pa.array(x["n_pixels"], pa.int64()), "is_open_edge": pa.array(np.zeros(size, dtype=np.int32)), "points": x["points"],
+        })
+
+    long = found.groupBy(*keys, "path").applyInArrow(trace, f"{_schema(pixels, keys)}, step long, {BRANCH}")
+    points = F.array(*[F.struct(F.col(f"{x}_r").alias("r"), F.col(f"{x}_c").alias("c")) for x in ("src", "dst")])
+    short = steps.where("owner IS NULL AND src < dst").select(
+        *keys, F.col("dst").alias("step"), F.col("src").alias("node_id_a"), F.col("dst").alias("node_id_b"), F.col("src_component_id").alias("component_id"),
+        F.lit(2).cast("long").alias("n_pixels"), F.lit(0).alias("is_open_edge"), points.alias("points"),
+    )
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("node_id_a", "step")) - 1
+    return long.unionByName(short).withColumn("edge_id", rank.cast("long")).drop("step")
 
-    return (
-        pixels.select(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
-        .groupBy(*keys)
-        .applyInArrow(
-            trace,
-            f"{schema}, edge_id long, node_id_a long, node_id_b long, component_id long, n_pixels long, is_open_edge int, "
-            "points array<struct<r: long, c: long>>",
-        )
-    )
+
+def branches(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Branches ``edge_id, node_id_a, node_id_b, component_id, n_pixels, is_open_edge, points``.
+
+    ``points`` are the pixels along the branch, both ends included; a ring starts and
+    ends at its seed. ``edge_id`` follows the key node and neighbour a branch starts by. A
+    mask of more than ``MASK_PIXELS`` is traced path by path instead of whole.
+    """
+    return _by_size(pixels, keys, _branches_whole, _branches_cut)
 
 
 def measured(edges: DataFrame, keys: Sequence[str], step: float = 0.5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -138,6 +138,49 @@ def infer(chips: DataFrame, scorer, schema: str) -> DataFrame:
     return chips.mapInPandas(lambda frames: (scorer(f) for f in frames), schema)
 
 
+def _covering(size: int, chip: int, step: int, place: str) -> Column:
+    """The starts of the chips along an axis that hold a place, or its mirror image beyond the end."""
+    starts = F.sequence(F.lit(0), F.lit(max(size - 1, 0)), F.lit(step))
+    held = lambda at: F.transform(F.filter(starts, lambda s: (s <= at) & (at < s + chip)), lambda s: F.struct(s.cast("long").alias("start"), (at - s).cast("long").alias("at")))
+    own, mirrored = F.col(place), F.lit(2 * (size - 1)) - F.col(place)
+    return F.concat(held(own), F.when(mirrored > own, F.filter(held(mirrored), lambda x: x["start"] + x["at"] >= size)).otherwise(F.slice(held(own), 1, 0)))
+
+
+def infer_overlapping(
+    pixels: DataFrame, keys: Sequence[str], height: int, width: int, scorer: Callable, *, chip: int = 1024, overlap: int = 128, value: str = "v", cut: float = 0.01
+) -> DataFrame:
+    """Chips that overlap, cut from frames mirrored at their ends, scored, and averaged per pixel.
+
+    ``pixels`` are sparse, ``(keys..., r, c, value)``; ``scorer`` takes an array of chips
+    ``(n, chip, chip)`` to scores from 0 to 1 of the same shape. Rows ``r, c, mean, n, v``
+    of the pixels with a score above 0 anywhere: the mean over the ``n`` chips that hold
+    the pixel, and whether it is above ``cut``. A chip is one group, whatever the frame's
+    size; only scores above 0 are shuffled, and ``n`` follows from the grid.
+    """
+    import numpy as np
+
+    step = chip - overlap
+    schema = ", ".join(f"{k} {t}" for k, t in pixels.dtypes if k in keys)
+    rows = pixels.select(*keys, "r", "c", F.col(value).cast("double").alias("v"))
+    rows = rows.withColumn("ys", F.explode(_covering(height, chip, step, "r"))).withColumn("xs", F.explode(_covering(width, chip, step, "c")))
+    rows = rows.select(*keys, F.col("ys.start").alias("y"), F.col("xs.start").alias("x"), F.col("ys.at").alias("i"), F.col("xs.at").alias("j"), "v")
+
+    def scored(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        block = np.zeros((1, chip, chip))
+        block[0, pdf["i"], pdf["j"]] = pdf["v"]
+        y, x = int(key[-2]), int(key[-1])
+        score = np.asarray(scorer(block))[0, : height - y, : width - x]
+        i, j = np.nonzero(score)
+        return pd.DataFrame({**{k: [v] * len(i) for k, v in zip(keys, key, strict=False)}, "r": i + y, "c": j + x, "p": score[i, j]})
+
+    found = rows.groupBy(*keys, "y", "x").applyInPandas(scored, f"{schema}, r long, c long, p double")
+    # Chips along an axis that hold a place: those that start in the chip before it, but for starts below 0.
+    holding = lambda at: (F.floor(F.col(at) / step) - F.greatest(F.ceil((F.col(at) - chip + 1) / step), F.lit(0)) + 1).cast("long")
+    n = holding("r") * holding("c")
+    out = found.groupBy(*keys, "r", "c").agg((F.sum("p") / F.first(n)).alias("mean"), F.first(n).alias("n"))
+    return out.withColumn("v", (F.col("mean") > cut).cast("int"))
+
+
 def thinned(block) -> object:
     """A mask one pixel wide with the same parts and holes (Zhang and Suen 1984)."""
     import numpy as np

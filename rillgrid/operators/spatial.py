@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box_area, box_overlap, span_overlap
+from ..functions.geometry import box_area, box_overlap, segment_parts, span_overlap
 
 BOX = ("minx", "miny", "maxx", "maxy")
 
@@ -45,19 +46,42 @@ def boxes_meet(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
 
 
 def segments_in_boxes(segments: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
-    """Pairs of axis-parallel segments ``(x0, y0, x1, y1)`` and boxes that share some length.
+    """Pairs of segments ``(x0, y0, x1, y1)``, of any slope, and boxes that share some length.
 
-    ``lo`` and ``hi`` bound the shared part along the segment, ``whole`` is its length.
+    ``lo`` and ``hi`` bound the shared part by its distance from the segment's start,
+    ``whole`` is the segment's length (Liang and Barsky 1984).
     """
     x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
     box = {"minx": F.least(x0, x1), "miny": F.least(y0, y1), "maxx": F.greatest(x0, x1), "maxy": F.greatest(y0, y1)}
     pair = boxes_meet(segments.withColumns(box), boxes, size)
-    flat = F.col("a_miny") == F.col("a_maxy")
-    across = F.when(flat, F.col("a_miny").between(F.col("miny"), F.col("maxy"))).otherwise(F.col("a_minx").between(F.col("minx"), F.col("maxx")))
-    lo = F.when(flat, F.greatest("a_minx", "minx")).otherwise(F.greatest("a_miny", "miny"))
-    hi = F.when(flat, F.least("a_maxx", "maxx")).otherwise(F.least("a_maxy", "maxy"))
-    whole = F.when(flat, F.col("a_maxx") - F.col("a_minx")).otherwise(F.col("a_maxy") - F.col("a_miny"))
-    return pair.withColumns({"lo": lo, "hi": hi, "whole": whole}).where(across & (F.col("hi") > F.col("lo")))
+
+    def span(start: Column, stop: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        step = F.nullif(stop - start, F.lit(0.0))
+        inside = start.between(low, high)
+        first, last = (low - start) / step, (high - start) / step
+        return (
+            F.when(step.isNull(), F.when(inside, F.lit(0.0)).otherwise(F.lit(2.0))).otherwise(F.least(first, last)),
+            F.when(step.isNull(), F.lit(1.0)).otherwise(F.greatest(first, last)),
+        )
+
+    along_x, along_y = span(x0, x1, F.col("minx"), F.col("maxx")), span(y0, y1, F.col("miny"), F.col("maxy"))
+    whole = F.sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))
+    lo, hi = F.greatest(F.lit(0.0), along_x[0], along_y[0]), F.least(F.lit(1.0), along_x[1], along_y[1])
+    return pair.withColumns({"lo": lo * whole, "hi": hi * whole, "whole": whole}).where("hi > lo")
+
+
+def segments_in_polygons(segments: DataFrame, polygons: DataFrame, size: float, geom: str = "geom") -> DataFrame:
+    """The same for polygons and multi-polygons as WKB: a row for each part that a polygon holds.
+
+    Bounding boxes (columns ``minx`` to ``maxy`` of ``polygons``) find the candidates.
+    """
+    found = segments_in_boxes(segments, polygons, size).drop("lo", "hi")
+
+    @F.pandas_udf("array<struct<lo: double, hi: double>>")
+    def parts(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, geom: pd.Series) -> pd.Series:
+        return pd.Series([[{"lo": a, "hi": b} for a, b in segment_parts(*x)] for x in zip(x0, y0, x1, y1, geom, strict=True)], dtype=object)
+
+    return found.withColumn("part", F.explode(parts("x0", "y0", "x1", "y1", geom))).select("*", "part.lo", "part.hi").drop("part")
 
 
 def merged_length(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -84,4 +108,4 @@ def covered_fraction(tiles: DataFrame, boxes: DataFrame, key: str, size: float)
     return tiles.join(shared, key, "left").select(key, (F.coalesce("shared", F.lit(0.0)) / area).alias("fraction"))
 
 
-__all__ = ["boxes_meet", "clip_to_extent", "covered_fraction", "merged_length", "points_in_boxes", "segments_in_boxes", "span_overlap", "with_cells"]
+__all__ = ["boxes_meet", "clip_to_extent", "covered_fraction", "merged_length", "points_in_boxes", "segments_in_boxes", "segments_in_polygons", "span_overlap", "with_cells"]

@@ -187,17 +187,17 @@ query("set_intersect_layers", f"WITH {GOT} SELECT tile_id, array_to_string(list_
 query("set_missing_fields", f"WITH {GOT} SELECT tile_id, array_to_string(list_filter(['Edges', 'norm_input_exp'], lambda x: NOT list_contains(present, x)), ';') AS missing FROM got", "layers")(
     lambda spark, d: layers(spark, d).groupBy("tile_id").agg(F.array_join(audit.missing_fields(F.collect_set("layer"), ["Edges", "norm_input_exp"]), ";").alias("missing"))
 )
-REPORT = f"""WITH got AS (SELECT tile_id, list_sort(list_distinct(list(layer))) AS present, list_sort(list_distinct(list(srs_id) FILTER (srs_id IS NOT NULL))) AS systems FROM layers WHERE layer_id % 2 = 0 GROUP BY 1),
+REPORT = f"""WITH got AS (SELECT tile_id, list_sort(list_distinct(list(layer))) AS present, list_sort(list_distinct(list(srs_id) FILTER (srs_id IS NOT NULL))) AS systems FROM layers GROUP BY 1),
     r AS (SELECT tile_id, array_to_string(list_filter([{QUOTED}], lambda x: NOT list_contains(present, x)), ';') AS missing, array_to_string(list_filter(present, lambda x: NOT list_contains([{QUOTED}], x)), ';') AS extra,
                  coalesce(len(systems), 0) <= 1 AS crs_consistent, coalesce(len(systems) <= 1 AND systems[1] = 3338, false) AS crs_matches FROM got)
     SELECT *, crs_consistent AND crs_matches AND missing = '' AND extra = '' AS ok FROM r"""
-query("audit_report", REPORT, "layers")(lambda spark, d: audit.layer_report(layers(spark, d).where("layer_id % 2 = 0"), "tile_id", WANT, sample_srs=3338))
+query("audit_report", REPORT, "layers")(lambda spark, d: audit.layer_report(layers(spark, d), "tile_id", WANT, sample_srs=3338))
 query("audit_crs_layers", """SELECT layer_id, CASE WHEN NOT opened THEN 'cannot be opened' WHEN srs_id IS NULL OR srs_id = 0 THEN 'no reference system' WHEN srs_id < 0 THEN 'reference system not understood'
     ELSE concat('EPSG:', srs_id, ' is not EPSG:3338') END AS problem FROM layers WHERE NOT opened OR srs_id IS NULL OR srs_id <> 3338""", "layers")(
     lambda spark, d: audit.crs_problems(layers(spark, d), 3338).select("layer_id", "problem")
 )
-query("audit_complete", "SELECT tile_id, count(*) FILTER (layer IS NOT NULL AND srs_id IS NOT NULL)::BIGINT AS n_set, count(*) FILTER (layer IS NOT NULL AND srs_id IS NOT NULL) >= 20 AS is_complete FROM layers GROUP BY 1", "layers")(
-    lambda spark, d: audit.complete(layers(spark, d), ["tile_id"], ["layer", "srs_id"], 20)
+query("audit_complete", "SELECT tile_id, count(*) FILTER (layer IS NOT NULL AND srs_id IS NOT NULL)::BIGINT AS n_set, count(*) FILTER (layer IS NOT NULL AND srs_id IS NOT NULL) >= 4 AS is_complete FROM layers GROUP BY 1", "layers")(
+    lambda spark, d: audit.complete(layers(spark, d), ["tile_id"], ["layer", "srs_id"], 4)
 )
 query("agg_srs_mode", "WITH n AS (SELECT srs_id, count(*)::BIGINT AS n FROM layers WHERE srs_id IS NOT NULL GROUP BY 1) SELECT srs_id, n FROM n ORDER BY n DESC, srs_id LIMIT 1", "layers")(lambda spark, d: audit.common_srs(layers(spark, d)))
 
@@ -272,34 +272,32 @@ def _(spark, d):
 # --- rasters --------------------------------------------------------------------------------------------
 
 
-def rasters(spark, d):
-    made = geotiff.written(view(spark, d, "px").withColumn("v", F.lit(1)), "tile_id", (0.5, 0, 100, 0, -0.5, 900), 3338, (32, 32))
+def rasters(spark, d, name="px", shape=None):
+    made = geotiff.written(view(spark, d, name).withColumn("v", F.lit(1)), "tile_id", (0.5, 0, 100, 0, -0.5, 900), 3338, shape)
     return made.select(F.concat(F.lit("/m/"), "name").alias("path"), "content")
 
 
 query("src_tiff_full", "SELECT concat('/m/', tile_id, '_mask.tif') AS path, r, c, 1.0::DOUBLE AS v FROM px", "px")(lambda spark, d: geotiff.pixels(rasters(spark, d)).drop("band"))
-query("src_tiff_meta", "SELECT DISTINCT concat('/m/', tile_id, '_mask.tif') AS path, 32 AS height, 32 AS width, 3338 AS epsg, 100.0::DOUBLE AS minx, 884.0::DOUBLE AS miny, 116.0::DOUBLE AS maxx, 900.0::DOUBLE AS maxy FROM px", "px")(
+query("src_tiff_meta", "SELECT concat('/m/', tile_id, '_mask.tif') AS path, (max(r) + 1)::INTEGER AS height, (max(c) + 1)::INTEGER AS width, 3338 AS epsg, 100.0::DOUBLE AS minx, 900.0 - (max(r) + 1) * 0.5::DOUBLE AS miny, 100.0 + (max(c) + 1) * 0.5::DOUBLE AS maxx, 900.0::DOUBLE AS maxy FROM px GROUP BY tile_id", "px")(
     lambda spark, d: geotiff.metadata(rasters(spark, d)).select("path", "height", "width", "epsg", "minx", "miny", "maxx", "maxy")
 )
-query("src_tiff_warp", "SELECT concat('/m/', tile_id, '_mask.tif') AS path, count(*)::BIGINT AS n FROM px GROUP BY 1", "px")(
-    lambda spark, d: geotiff.warped(rasters(spark, d), 3338, 0.5).groupBy("path").agg(F.count("*").alias("n"))
+# Cells three times as wide: each takes the pixel in its middle.
+query("src_tiff_warp", "SELECT concat('/m/', tile_id, '_mask.tif') AS path, r // 3 AS r, c // 3 AS c, 1.0::DOUBLE AS v FROM px WHERE r % 3 = 1 AND c % 3 = 1", "px")(
+    lambda spark, d: geotiff.warped(rasters(spark, d), 3338, 1.5).select("path", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "v")
+)
+query("src_tiff_bands_resampled", "SELECT concat('/m/', tile_id, '_mask.tif') AS path, 1 AS band, r // 2 AS r, c // 2 AS c, count(*) / 4.0::DOUBLE AS v FROM px32 GROUP BY tile_id, r // 2, c // 2", "px32")(
+    lambda spark, d: geotiff.bands_resampled(rasters(spark, d, "px32", (32, 32)), 0.5, bands=(1,))
 )
 
 
 @query("snk_masks_and_vector", "SELECT tile_id, count(*)::BIGINT AS n_pixels, count(*) * 0.25::DOUBLE AS area FROM px GROUP BY 1", "px")
 def _(spark, d):
-    """A mask written as raster and as polygons of its runs of pixels, and both read back."""
-
-    def outlines(table):
-        rows = table.to_pandas().sort_values(["r", "c"])
-        run = ((rows["c"].diff() != 1) | (rows["r"].diff() != 0)).cumsum()
-        parts = [[[(g["c"].iloc[0] * 0.5, g["r"].iloc[0] * 0.5), (g["c"].iloc[-1] * 0.5 + 0.5, g["r"].iloc[0] * 0.5), (g["c"].iloc[-1] * 0.5 + 0.5, g["r"].iloc[0] * 0.5 + 0.5), (g["c"].iloc[0] * 0.5, g["r"].iloc[0] * 0.5 + 0.5), (g["c"].iloc[0] * 0.5, g["r"].iloc[0] * 0.5)]] for _, g in rows.groupby(run)]
-        import pyarrow as pa
-
-        return pa.table({"tile_id": pa.array([int(rows["tile_id"].iloc[0])], pa.int64()), "geom": pa.array([geometry.encode(geometry.MULTI_POLYGON, parts)], pa.binary())})
+    """A mask written as raster and, read back from it, as polygons, and both read back."""
+    from ..operators.polygons import polygonize
 
-    vector = view(spark, d, "px").groupBy("tile_id").applyInArrow(outlines, "tile_id long, geom binary")
-    area = geojson.rings(vector).groupBy("tile_id").agg(F.sum(geometry.ring_area(F.col("points"))).alias("area"))
+    seen = geotiff.pixels(rasters(spark, d)).select(F.regexp_extract("path", r"(\d+)_mask", 1).cast("long").alias("tile_id"), "r", "c")
+    vector = polygonize(seen, ["tile_id"], transform=(0.5, 0, 100, 0, -0.5, 900))
+    area = vector.groupBy("tile_id").agg(F.sum(geometry.polygon_area(F.col("geom"))).alias("area"))
     raster = geotiff.pixels(rasters(spark, d)).groupBy(F.regexp_extract("path", r"(\d+)_mask", 1).cast("long").alias("tile_id")).agg(F.count("*").alias("n_pixels"))
     return raster.join(area, "tile_id").select("tile_id", "n_pixels", "area")
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..functions.affine import pixel_to_xy, step_orientation
-from ..operators import graph, masks, raster, stats
+from ..operators import graph, masks, polygons, raster, stats
 from .proxies import table, view
 from .registry import query
 
@@ -147,29 +148,38 @@ def _(spark, d):
     return graph.labelled(px(spark, d), KEY).where("is_key AND degree = 2").select("tile_id", F.col("node_id").alias("seed"))
 
 
-BRANCH = f"WITH RECURSIVE {REACH} SELECT tile_id, (sum(degree) FILTER (is_key) // 2)::BIGINT AS n_branches, (count(*) FILTER (NOT is_key) + 2 * (sum(degree) FILTER (is_key) // 2)) * 0.5::DOUBLE AS total_m, 0::BIGINT AS n_open FROM marked GROUP BY 1 HAVING sum(degree) FILTER (is_key) > 0"
+# Branches walked pixel by pixel from every key node, with the sums of the doubled directions of their steps; of the two ways the first stays.
+WALK = f"""{REACH},
+    step AS (SELECT l.tile_id, l.src, l.dst, a.is_key AS src_key, b.is_key AS dst_key, a.component_id,
+                    ((b.c - a.c) * (b.c - a.c) - (b.r - a.r) * (b.r - a.r))::DOUBLE / ((b.c - a.c) * (b.c - a.c) + (b.r - a.r) * (b.r - a.r)) AS cx,
+                    (2 * (b.r - a.r) * (b.c - a.c))::DOUBLE / ((b.c - a.c) * (b.c - a.c) + (b.r - a.r) * (b.r - a.r)) AS sx
+             FROM link l JOIN marked a ON a.tile_id = l.tile_id AND a.node_id = l.src JOIN marked b ON b.tile_id = l.tile_id AND b.node_id = l.dst),
+    walk AS (SELECT tile_id, component_id, src AS a, dst AS first, src AS prev, dst AS cur, dst_key AS done, 2 AS n, cx, sx FROM step WHERE src_key
+             UNION ALL SELECT w.tile_id, w.component_id, w.a, w.first, w.cur, s.dst, s.dst_key, w.n + 1, w.cx + s.cx, w.sx + s.sx
+             FROM walk w JOIN step s ON s.tile_id = w.tile_id AND s.src = w.cur AND s.dst <> w.prev WHERE NOT w.done),
+    branch AS (SELECT tile_id, row_number() OVER (PARTITION BY tile_id ORDER BY a, first) - 1 AS edge_id, a AS node_id_a, cur AS node_id_b, component_id::BIGINT AS component_id, n::BIGINT AS n_pixels,
+                      CASE WHEN sx * sx + cx * cx < 1e-12 THEN -1.0 ELSE ((degrees(atan2(sx, cx)) / 2) % 180 + 180) % 180 END AS axial
+               FROM walk WHERE done AND (a, first) < (cur, prev))"""
 
 
-@query("trace_branches", BRANCH, "px")
-def _(spark, d):
-    made = graph.branches(px(spark, d), KEY)
-    return made.groupBy("tile_id").agg(F.count("*").alias("n_branches"), (F.sum("n_pixels") * 0.5).alias("total_m"), F.sum("is_open_edge").alias("n_open"))
+def branches(spark, d):
+    return graph.branches(px(spark, d), KEY)
 
 
-@query("win_bfs_chain", f"WITH RECURSIVE {REACH} SELECT tile_id, (count(*) FILTER (NOT is_key) + 2 * (sum(degree) FILTER (is_key) // 2))::BIGINT AS n_steps FROM marked GROUP BY 1 HAVING sum(degree) FILTER (is_key) > 0", "px")
-def _(spark, d):
-    steps = graph.branches(px(spark, d), KEY).select("tile_id", "edge_id", F.posexplode("points").alias("step", "p"))
-    return steps.groupBy("tile_id", "edge_id").agg((F.max("step") + 1).alias("n")).groupBy("tile_id").agg(F.sum("n").alias("n_steps"))
+query("trace_branches", f"WITH RECURSIVE {WALK} SELECT tile_id, edge_id, node_id_a, node_id_b, component_id, n_pixels, 0::INTEGER AS is_open_edge FROM branch", "px")(lambda spark, d: branches(spark, d).drop("points"))
 
 
-@query("win_edge_rank", f"WITH RECURSIVE {REACH} SELECT tile_id, 0::BIGINT AS first_id, (sum(degree) FILTER (is_key) // 2 - 1)::BIGINT AS last_id FROM marked GROUP BY 1 HAVING sum(degree) FILTER (is_key) > 0", "px")
+@query("win_bfs_chain", f"WITH RECURSIVE {WALK} SELECT tile_id, edge_id, n_pixels AS n_steps, node_id_a, node_id_b FROM branch", "px")
 def _(spark, d):
-    return graph.branches(px(spark, d), KEY).groupBy("tile_id").agg(F.min("edge_id").alias("first_id"), F.max("edge_id").alias("last_id"))
+    """The points of each branch, looked up by their places."""
+    n = graph.nodes(px(spark, d), KEY)
+    steps = branches(spark, d).select("tile_id", "edge_id", F.posexplode("points").alias("step", "p")).select("tile_id", "edge_id", "step", "p.r", "p.c").join(n, ["tile_id", "r", "c"])
+    ends = [F.min_by("node_id", "step").alias("node_id_a"), F.max_by("node_id", "step").alias("node_id_b")]
+    return steps.groupBy("tile_id", "edge_id").agg((F.max("step") + 1).cast("long").alias("n_steps"), *ends)
 
 
-@query("jn_edge_component", f"WITH RECURSIVE {REACH} SELECT tile_id, component_id::BIGINT AS component_id, (sum(degree) FILTER (is_key) // 2)::BIGINT AS num_edges FROM marked GROUP BY 1, 2 HAVING sum(degree) FILTER (is_key) > 0", "px")
-def _(spark, d):
-    return graph.branches(px(spark, d), KEY).groupBy("tile_id", "component_id").agg(F.count("*").alias("num_edges"))
+query("win_edge_rank", f"WITH RECURSIVE {WALK} SELECT tile_id, edge_id, node_id_a FROM branch", "px")(lambda spark, d: branches(spark, d).select("tile_id", "edge_id", "node_id_a"))
+query("jn_edge_component", f"WITH RECURSIVE {WALK} SELECT tile_id, edge_id, component_id FROM branch", "px")(lambda spark, d: branches(spark, d).select("tile_id", "edge_id", "component_id"))
 
 
 COUNTS = "count(*)::BIGINT AS num_nodes, count(*) FILTER (degree = 1)::BIGINT AS num_endnodes, count(*) FILTER (degree >= 2)::BIGINT AS num_junctions, round(sum(degree) / count(*)::DOUBLE, 6) AS avg_degree, count(*) * 0.5::DOUBLE AS total_length_m"
@@ -198,21 +208,28 @@ def _(spark, d):
     return graph.not_isolated(counted(spark, d))
 
 
-STATS = f"WITH RECURSIVE {REACH}, counts AS (SELECT tile_id, component_id::BIGINT AS component_id, {COUNTS}, (coalesce(sum(degree) FILTER (is_key), 0) // 2)::BIGINT AS num_edges FROM marked GROUP BY 1, 2) SELECT * FROM counts WHERE num_nodes > 1"
+STATS = f"""{WALK}, counts AS (SELECT tile_id, component_id::BIGINT AS component_id, {COUNTS} FROM part GROUP BY 1, 2),
+    lines AS (SELECT tile_id, component_id, count(*)::BIGINT AS num_edges, quantile_cont(n_pixels * 0.5, 0.95) AS p95 FROM branch GROUP BY 1, 2),
+    trimmed AS (SELECT tile_id, component_id, avg(n_pixels * 0.5) AS m FROM branch JOIN lines USING (tile_id, component_id) WHERE n_pixels * 0.5 <= p95 GROUP BY 1, 2),
+    comp AS (SELECT c.*, coalesce(num_edges, 0) AS num_edges, round(coalesce(m, 0.0), 6) AS mean_branch_len_95_m
+             FROM counts c LEFT JOIN lines USING (tile_id, component_id) LEFT JOIN trimmed USING (tile_id, component_id) WHERE num_nodes > 1)"""
 
 
-@query("component_stats", STATS, "px")
+@query("component_stats", f"WITH RECURSIVE {STATS} SELECT * FROM comp", "px")
 def _(spark, d):
-    edges = graph.branches(px(spark, d), KEY).withColumn("length_m", F.col("n_pixels") * 0.5)
-    return stats.component_stats(graph.not_isolated(counted(spark, d)), edges, KEY).drop("mean_branch_len_95_m")
+    edges = branches(spark, d).withColumn("length_m", F.col("n_pixels") * 0.5)
+    made = stats.component_stats(graph.not_isolated(counted(spark, d)), edges, KEY)
+    return made.withColumn("mean_branch_len_95_m", F.round("mean_branch_len_95_m", 6))
 
 
-@query("subtile_process")
+@query("subtile_process", f"WITH RECURSIVE {STATS} SELECT b.tile_id, edge_id, node_id_a, node_id_b, component_id, n_pixels, 0::INTEGER AS is_open_edge, n_pixels * 0.5::DOUBLE AS length_m, (round(axial * 1000) % 180000)::BIGINT AS millidegrees, c.* EXCLUDE (tile_id, component_id) FROM branch b JOIN comp c USING (tile_id, component_id)", "px")
 def _(spark, d):
     """All of a mask's layers in one: branches with lengths and directions, and their components' rows."""
-    edges = graph.measured(graph.branches(px(spark, d), KEY), KEY)
-    comps = stats.component_stats(graph.not_isolated(graph.component_counts(px(spark, d), KEY)), edges, KEY)
-    return edges.drop("points").join(comps, ["tile_id", "component_id"])
+    edges = graph.measured(branches(spark, d), KEY)
+    comps = stats.component_stats(graph.not_isolated(counted(spark, d)), edges, KEY)
+    comps = comps.withColumn("mean_branch_len_95_m", F.round("mean_branch_len_95_m", 6))
+    angle = F.when(F.col("orientation_deg_axial") < 0, F.lit(-1000)).otherwise(F.round(F.col("orientation_deg_axial") * 1000) % 180000)
+    return edges.withColumn("millidegrees", angle.cast("long")).drop("points", "orientation_deg_axial").join(comps, ["tile_id", "component_id"])
 
 
 @query("agg_comp_lines", f"WITH RECURSIVE {REACH} SELECT tile_id, component_id::BIGINT AS component_id, (sum(degree) FILTER (is_key) // 2)::BIGINT AS n_lines, (count(*) FILTER (NOT is_key) + 2 * (sum(degree) FILTER (is_key) // 2))::BIGINT AS n_points FROM marked GROUP BY 1, 2 HAVING sum(degree) FILTER (is_key) > 0", "px")
@@ -222,16 +239,28 @@ def _(spark, d):
     return lines.select("tile_id", "component_id", F.size("lines").cast("long").alias("n_lines"), points.alias("n_points"))
 
 
-@query("raster_polygonize", f"WITH RECURSIVE {REACH} SELECT tile_id, count(DISTINCT root)::BIGINT AS n_regions, sum(0.25::DOUBLE) AS area_m2, 1 AS mask_value FROM part GROUP BY 1", "px")
+# Pixels that share a side make a part; Euler's formula over a part's corners, sides and pixels counts its holes.
+PARTS4 = f"""{REACH},
+    link4 AS (SELECT a.tile_id, a.node_id AS src, b.node_id AS dst FROM node a JOIN node b ON a.tile_id = b.tile_id AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
+    reach4 AS (SELECT tile_id, node_id, node_id AS root FROM node UNION SELECT l.tile_id, l.dst, x.root FROM reach4 x JOIN link4 l ON l.tile_id = x.tile_id AND l.src = x.node_id),
+    piece AS (SELECT p.*, (SELECT min(x.root) FROM reach4 x WHERE x.tile_id = p.tile_id AND x.node_id = p.node_id) AS root4 FROM part p),
+    corner AS (SELECT tile_id, component_id, root4, count(DISTINCT (r + dr, c + dc)) AS n FROM piece, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(dr, dc) GROUP BY 1, 2, 3),
+    side AS (SELECT tile_id, component_id, root4, count(DISTINCT (k, r + dr, c + dc)) AS n FROM piece, (VALUES ('h', 0, 0), ('h', 1, 0), ('v', 0, 0), ('v', 0, 1)) v(k, dr, dc) GROUP BY 1, 2, 3),
+    face AS (SELECT tile_id, component_id, root4, count(*) AS n FROM piece GROUP BY 1, 2, 3),
+    region AS (SELECT tile_id, component_id::BIGINT AS component_id, 1::INTEGER AS mask_value, count(*)::BIGINT AS n_parts, sum(1 - (corner.n - side.n + face.n))::BIGINT AS n_holes, sum(face.n) * 0.25::DOUBLE AS area
+               FROM corner JOIN side USING (tile_id, component_id, root4) JOIN face USING (tile_id, component_id, root4) GROUP BY 1, 2)"""
+HALF_METRE = (0.5, 0, 100, 0, -0.5, 900)
+
+
+@query("raster_polygonize", f"WITH RECURSIVE {PARTS4} SELECT * FROM region", "px")
 def _(spark, d):
-    regions = graph.component_counts(px(spark, d), KEY).withColumn("area_m2", F.col("num_nodes") * 0.25)
-    return regions.groupBy("tile_id").agg(F.count("*").alias("n_regions"), F.sum("area_m2").alias("area_m2")).withColumn("mask_value", F.lit(1))
+    return polygons.polygonize(px(spark, d), KEY, transform=HALF_METRE).drop("geom", "n_points")
 
 
-@query("flt_poly_min_area", f"WITH RECURSIVE {REACH} SELECT tile_id, component_id::BIGINT AS component_id, count(*) * 0.25::DOUBLE AS area_m2 FROM part GROUP BY 1, 2 HAVING count(*) * 0.25 > 1", "px")
+@query("flt_poly_min_area", f"WITH RECURSIVE {PARTS4} SELECT tile_id, component_id, area, 6 AS kind FROM region WHERE area > 1", "px")
 def _(spark, d):
-    regions = graph.component_counts(px(spark, d), KEY).select("tile_id", "component_id", (F.col("num_nodes") * 0.25).alias("area_m2"))
-    return regions.where("area_m2 > 1")
+    made = polygons.polygonize(px(spark, d), KEY, transform=HALF_METRE, min_area=1)
+    return made.select("tile_id", "component_id", "area", geometry.wkb_type(F.col("geom")).cast("int").alias("kind"))
 
 
 @query("skeletonize")
@@ -245,7 +274,7 @@ def _(spark, d):
     return raster.from_blocks(raster.to_blocks(px(spark, d).withColumn("v", F.lit(1)), KEY, 16), KEY)
 
 
-OVER = "SELECT tile_id, floor(r / {k})::BIGINT AS r, floor(c / {k})::BIGINT AS c, arg_min(v, r * 1000 + c)::BIGINT AS v FROM (SELECT *, r * 32 + c AS v FROM px) p GROUP BY 1, 2, 3"
+OVER = "SELECT tile_id, floor(r / {k})::BIGINT AS r, floor(c / {k})::BIGINT AS c, arg_min(v, r * 100000 + c)::BIGINT AS v FROM (SELECT *, r * 32 + c AS v FROM px) p GROUP BY 1, 2, 3"
 
 
 @query("agg_overview", OVER.format(k=4), "px")
@@ -264,11 +293,11 @@ def _(spark, d):
     return raster.null_mask(rows, ["l_orderkey"])
 
 
-@query("fn_reflect_pad", """SELECT tile_id, y.pr::BIGINT AS r, x.pc::BIGINT AS c FROM px
+@query("fn_reflect_pad", """SELECT tile_id, y.pr::BIGINT AS r, x.pc::BIGINT AS c FROM px32
        JOIN (SELECT i AS pr, CASE WHEN i < 5 THEN 5 - i WHEN i >= 37 THEN 67 - i ELSE i - 5 END AS r FROM range(0, 42) t(i)) y USING (r)
-       JOIN (SELECT i AS pc, CASE WHEN i < 5 THEN 5 - i WHEN i >= 37 THEN 67 - i ELSE i - 5 END AS c FROM range(0, 42) t(i)) x USING (c)""", "px")
+       JOIN (SELECT i AS pc, CASE WHEN i < 5 THEN 5 - i WHEN i >= 37 THEN 67 - i ELSE i - 5 END AS c FROM range(0, 42) t(i)) x USING (c)""", "px32")
 def _(spark, d):
-    return raster.reflect_pad(px(spark, d), KEY, 32, 32, 5)
+    return raster.reflect_pad(view(spark, d, "px32"), KEY, 32, 32, 5)
 
 
 @query("fn_chip_grid", "SELECT s_suppkey AS tile_id, y.y::INTEGER AS y, x.x::INTEGER AS x FROM supplier, range(0, 3000, 896) y(y), range(0, 3000, 896) x(x) WHERE y.y < 1000 + s_suppkey * 10 % 2000 AND x.x < 2000")
@@ -294,29 +323,47 @@ query("agg_chip_avg", AVERAGE)(lambda spark, d: averaged(chips(spark, d)))
 query("snk_mask_windows", AVERAGE)(lambda spark, d: averaged(chips(spark, d)))
 
 
-@query("infer_chips", AVERAGE)
+# Each pixel in each chip of side 24, every 16 pixels, that holds it; mirrored pixels beyond the frame are cut off again.
+INFER = """size AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM px),
+    seen AS (SELECT tile_id, r, c, y, x FROM px, size, range(0, 100000, 16) a(y), range(0, 100000, 16) b(x) WHERE y <= r AND r < y + 24 AND x <= c AND c < x + 24 AND y < h AND x < w)
+    SELECT tile_id, r, c, round(avg((c - x + 1) / 24.0), 6) AS mean, count(*)::BIGINT AS n, (round(avg((c - x + 1) / 24.0), 9) > 0.4)::INTEGER AS v FROM seen GROUP BY 1, 2, 3"""
+
+
+@query("infer_chips", f"WITH {INFER}", "px")
 def _(spark, d):
-    rows = chips(spark, d)
-    return averaged(raster.infer(rows, lambda f: f, rows._jdf.schema().toDDL()))
+    """A scorer that weighs a pixel by its column in the chip, so chips disagree where they overlap."""
+    rows = px(spark, d)
+    h, w = rows.agg(F.max("r") + 1, F.max("c") + 1).first()
+
+    def scorer(chips):
+        import numpy as np
+
+        return chips * (np.arange(chips.shape[2]) + 1) / chips.shape[2]
 
+    made = raster.infer_overlapping(rows.withColumn("v", F.lit(1.0)), KEY, h or 1, w or 1, scorer, chip=24, overlap=8, cut=0.4)
+    return made.withColumns({"v": (F.round("mean", 9) > 0.4).cast("int"), "mean": F.round("mean", 6)})
 
-@query("ocean_decide", f"""WITH {SHORE},
+
+DECIDE = f"""{SHORE},
     shares AS (SELECT tile_id, count(*) FILTER (is_valid AND ocean) AS ocean, count(*) FILTER (is_valid AND NOT ocean) AS land FROM shore GROUP BY 1),
-    frac AS (SELECT b.tile_id, sum(greatest(least(b.maxx, z.c1) - greatest(b.minx, z.c0), 0) * greatest(least(b.maxy, z.r1) - greatest(b.miny, z.r0), 0)) / any_value((b.maxx - b.minx) * (b.maxy - b.miny)) AS f FROM boxes b, zones z GROUP BY 1)
-    SELECT f.tile_id, round(f, 6) AS fraction, CASE WHEN f.tile_id % 10 = 3 THEN 'ERROR: no CRS' WHEN f >= 0.99 THEN 'DROP' WHEN f < 0.01 THEN 'KEEP' WHEN coalesce(ocean, 0) > 0 AND coalesce(land, 0) > 0 THEN 'BOUNDARY_REWRITE' ELSE 'KEEP' END AS decision
-    FROM frac f LEFT JOIN shares s USING (tile_id)""", "px zones boxes")
+    frac AS (SELECT b.tile_id, sum(greatest(least(b.maxx, z.c1) - greatest(b.minx, z.c0), 0) * greatest(least(b.maxy, z.r1) - greatest(b.miny, z.r0), 0)) / any_value((b.maxx - b.minx) * (b.maxy - b.miny)) AS f FROM boxes b, zones z GROUP BY 1),
+    made AS (SELECT f.tile_id, round(f, 6) AS fraction, CASE WHEN f.tile_id % 10 = 3 THEN 'ERROR: no CRS' WHEN f >= 0.99 THEN 'DROP' WHEN f < 0.01 THEN 'KEEP' WHEN coalesce(ocean, 0) > 0 AND coalesce(land, 0) > 0 THEN 'BOUNDARY_REWRITE' ELSE 'KEEP' END AS decision
+             FROM frac f LEFT JOIN shares s ON s.tile_id = f.tile_id % 8)"""
+
+
+@query("ocean_decide", f"WITH {DECIDE} SELECT * FROM made", "px zones boxes")
 def decided(spark, d):
+    """Tiles by their box's share of ocean and the pixels of the mask they lie on."""
     from ..operators.spatial import covered_fraction
 
     zones = view(spark, d, "zones").select(F.col("c0").cast("double").alias("minx"), F.col("r0").cast("double").alias("miny"), F.col("c1").cast("double").alias("maxx"), F.col("r1").cast("double").alias("maxy"))
-    rows = covered_fraction(view(spark, d, "boxes"), zones, "tile_id", 8.0).join(masks.pixel_shares(shore(spark, d), "tile_id"), "tile_id", "left")
+    shares = masks.pixel_shares(shore(spark, d), "tile_id").withColumnRenamed("tile_id", "mask")
+    rows = covered_fraction(view(spark, d, "boxes"), zones, "tile_id", 8.0).withColumn("mask", F.col("tile_id") % 8).join(shares, "mask", "left")
     made = masks.decision(F.col("fraction"), F.col("n_ocean"), F.col("n_land"), F.col("tile_id") % 10 != 3)
     return rows.select("tile_id", F.round("fraction", 6).alias("fraction"), made.alias("decision"))
 
 
-@query("agg_decisions", """WITH frac AS (SELECT b.tile_id, sum(greatest(least(b.maxx, z.c1) - greatest(b.minx, z.c0), 0) * greatest(least(b.maxy, z.r1) - greatest(b.miny, z.r0), 0)) / any_value((b.maxx - b.minx) * (b.maxy - b.miny)) AS f FROM boxes b, zones z GROUP BY 1),
-    made AS (SELECT CASE WHEN tile_id % 10 = 3 THEN 'ERROR' WHEN f >= 0.99 THEN 'DROP' WHEN f < 0.01 THEN 'KEEP' ELSE 'BOUNDARY_REWRITE' END AS decision FROM frac)
-    SELECT decision, count(*)::BIGINT AS n FROM made GROUP BY 1""", "zones boxes")
+@query("agg_decisions", f"WITH {DECIDE} SELECT split_part(decision, ':', 1) AS decision, count(*)::BIGINT AS n FROM made GROUP BY 1", "px zones boxes")
 def _(spark, d):
     return masks.decision_counts(decided(spark, d))
 

@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
-    "px": "SELECT DISTINCT l_suppkey AS tile_id, l_orderkey % 32 AS r, l_partkey % 32 AS c FROM {lineitem} WHERE l_quantity >= 30",
+    # Eight masks whose sides grow with the table, about a fifth of their pixels set.
+    "px": """
+        SELECT DISTINCT l_suppkey % 8 AS tile_id, l_orderkey % w AS r, l_partkey % w AS c
+        FROM {lineitem}, (SELECT CAST(ceil(sqrt(count(*) / 1.76e0)) AS BIGINT) AS w FROM {lineitem} WHERE l_quantity >= 30) s WHERE l_quantity >= 30""",
+    "px32": "SELECT DISTINCT l_suppkey AS tile_id, l_orderkey % 32 AS r, l_partkey % 32 AS c FROM {lineitem} WHERE l_quantity >= 30",
     "edges": """
         SELECT s_nationkey AS tile_id, l_suppkey AS sub_tile_id, l_partkey AS component_id, l_orderkey, l_linenumber, l_extendedprice / 1000.0 AS length_m,
                CAST((l_orderkey * 7 + l_partkey * 13 + l_linenumber * 31) % 180 AS DOUBLE) AS orientation_deg_axial
@@ -22,13 +26,14 @@ VIEWS = {
         SELECT o_orderkey AS cut_id, CAST((o_orderkey % 20) * 100 AS DOUBLE) AS minx, CAST(floor(o_orderkey / 20) * 100 AS DOUBLE) AS miny,
                CAST((o_orderkey % 20) * 100 + 150 AS DOUBLE) AS maxx, CAST(floor(o_orderkey / 20) * 100 + 150 AS DOUBLE) AS maxy,
                CAST(o_orderdate AS DATE) AS acqdate
-        FROM {orders} WHERE o_orderkey < 200""",
+        FROM {orders}""",
     "pts": """
-        SELECT p_partkey AS node_id, CAST((p_partkey * 37) % 2000 + 0.5 AS DOUBLE) AS x, CAST((p_partkey * 91) % 1000 + 0.5 AS DOUBLE) AS y, p_size FROM {part}""",
+        SELECT p_partkey AS node_id, CAST((p_partkey * 37) % 2000 + 0.5 AS DOUBLE) AS x, CAST(p_partkey * 37.5 + 0.5 AS DOUBLE) AS y, p_size FROM {part}""",
+    # Along x, along y, and slanted.
     "segs": """
-        SELECT node_id AS edge_id, x AS x0, y AS y0, CASE WHEN node_id % 2 = 0 THEN x + 40 + p_size ELSE x END AS x1,
-               CASE WHEN node_id % 2 = 0 THEN y ELSE y + 40 + p_size END AS y1, node_id % 500 AS group_id
-        FROM (SELECT p_partkey AS node_id, CAST((p_partkey * 37) % 2000 + 0.5 AS DOUBLE) AS x, CAST((p_partkey * 91) % 1000 + 0.5 AS DOUBLE) AS y, p_size FROM {part}) p""",
+        SELECT p_partkey AS edge_id, x AS x0, y AS y0, CASE WHEN p_partkey % 3 = 1 THEN x ELSE x + 40 + p_size END AS x1,
+               CASE WHEN p_partkey % 3 = 0 THEN y WHEN p_partkey % 3 = 1 THEN y + 40 + p_size ELSE y + 30 + 2 * p_size END AS y1, p_partkey % 500 AS group_id
+        FROM (SELECT p_partkey, CAST((p_partkey * 37) % 2000 + 0.5 AS DOUBLE) AS x, CAST(p_partkey * 37.5 + 0.5 AS DOUBLE) AS y, p_size FROM {part}) p""",
     "zones": """
         SELECT n_nationkey AS zone_id, (n_nationkey % 4) * 8 AS c0, CAST(floor(n_nationkey / 4) AS BIGINT) * 8 AS r0, (n_nationkey % 4) * 8 + 8 AS c1,
                CAST(floor(n_nationkey / 4) AS BIGINT) * 8 + 8 AS r1
@@ -44,11 +49,11 @@ VIEWS = {
         SELECT DISTINCT concat('Mosaic_', CAST(c_nationkey AS VARCHAR(10)), '_', CAST(c_custkey AS VARCHAR(10)), '_TCN.gpkg') AS name
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderstatus = 'F'""",
     "layers": """
-        SELECT c_nationkey AS tile_id, c_custkey AS layer_id,
+        SELECT CAST(floor(c_custkey / 4) AS BIGINT) AS tile_id, c_custkey AS layer_id,
                CASE c_custkey % 5 WHEN 0 THEN 'Nodes' WHEN 1 THEN 'Edges' WHEN 2 THEN 'Components' WHEN 3 THEN 'Cutlines' ELSE 'Extra' END AS layer,
                CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 0 WHEN c_custkey % 17 = 0 THEN -1 WHEN c_nationkey % 4 = 0 THEN 3413 ELSE 3338 END AS srs_id,
                c_custkey % 23 <> 0 AS opened
-        FROM {customer} WHERE c_custkey % 3 = 0""",
+        FROM {customer}""",
     "files": """
         SELECT o_custkey AS tile_id, concat('/data/t', CAST(o_custkey AS VARCHAR(10)), '/f', CAST(o_orderkey AS VARCHAR(10)), '_summary.gpkg') AS path, o_orderdate AS modified
         FROM {orders}""",

@@ -82,10 +82,11 @@ def node_exposure(spark, d):
     return made.withColumn("norm_input_exp", F.round("norm_input_exp", 6))
 
 
-# Parts of axis-parallel segments inside boxes, and the union of those of one date.
-PARTS = """part AS (SELECT edge_id, group_id, acqdate, greatest(CASE WHEN y0 = y1 THEN x0 ELSE y0 END, CASE WHEN y0 = y1 THEN minx ELSE miny END) AS lo,
-                  least(CASE WHEN y0 = y1 THEN x1 ELSE y1 END, CASE WHEN y0 = y1 THEN maxx ELSE maxy END) AS hi
-           FROM segs JOIN cuts ON CASE WHEN y0 = y1 THEN y0 >= miny AND y0 <= maxy ELSE x0 >= minx AND x0 <= maxx END),
+# Parts of segments inside boxes, by distance from the start, and the union of those of one date.
+PARTS = """met AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS whole, nullif(x1 - x0, 0) AS dx, nullif(y1 - y0, 0) AS dy
+           FROM segs JOIN cuts ON x0 <= maxx AND x1 >= minx AND y0 <= maxy AND y1 >= miny),
+    part AS (SELECT edge_id, group_id, acqdate, cut_id, whole, greatest(0, coalesce(least((minx - x0) / dx, (maxx - x0) / dx), 0), coalesce(least((miny - y0) / dy, (maxy - y0) / dy), 0)) * whole AS lo,
+                  least(1, coalesce(greatest((minx - x0) / dx, (maxx - x0) / dx), 1), coalesce(greatest((miny - y0) / dy, (maxy - y0) / dy), 1)) * whole AS hi FROM met),
     own AS (SELECT * FROM part WHERE hi > lo),
     merged AS (SELECT *, greatest(hi - greatest(lo, coalesce(max(hi) OVER (PARTITION BY edge_id, acqdate ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo)), 0) AS new FROM own)"""
 
@@ -108,15 +109,45 @@ query("agg_exp_edges", shared_sql("edge_id"), "segs cuts")(shared("edge_id"))
 query("agg_exp_comps", shared_sql("group_id"), "segs cuts")(shared("group_id"))
 
 
-@query("jn_line_poly_overlap", f"WITH {PARTS} SELECT edge_id, acqdate, lo, hi FROM own", "segs cuts")
+@query("jn_line_poly_overlap", f"WITH {PARTS} SELECT edge_id, cut_id, acqdate, round(lo, 6) AS lo, round(hi, 6) AS hi FROM own", "segs cuts")
 def _(spark, d):
-    return spatial.segments_in_boxes(view(spark, d, "segs"), view(spark, d, "cuts"), GRID).select("edge_id", "acqdate", "lo", "hi")
+    made = spatial.segments_in_boxes(view(spark, d, "segs"), view(spark, d, "cuts"), GRID)
+    return made.select("edge_id", "cut_id", "acqdate", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
-@query("jn_comp_poly_overlap", f"WITH {PARTS} SELECT group_id, acqdate, sum(new) AS covered FROM merged GROUP BY 1, 2", "segs cuts")
+def diamonds(spark, d):
+    """Cutlines whose polygon joins the middles of their box's sides, as WKB."""
+
+    @F.pandas_udf("binary")
+    def make(minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
+        def one(a, b, c, e):
+            x, y = (a + c) / 2, (b + e) / 2
+            return geometry.encode(geometry.POLYGON, [[(x, b), (c, y), (x, e), (a, y), (x, b)]])
+
+        return pd.Series([one(*r) for r in zip(minx, miny, maxx, maxy, strict=True)], dtype=object)
+
+    cuts = view(spark, d, "cuts")
+    return cuts.withColumn("geom", make(*spatial.BOX))
+
+
+# A diamond is where four half planes meet: s * (x - cx) + t * (y - cy) <= 75 for all signs s, t.
+DIAMOND = """met AS (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS whole FROM segs JOIN cuts ON x0 <= maxx AND x1 >= minx AND y0 <= maxy AND y1 >= miny),
+    plane AS (SELECT m.*, s * (x1 - x0) + t * (y1 - y0) AS slope, 75 - s * (x0 - (minx + maxx) / 2) - t * (y0 - (miny + maxy) / 2) AS room
+              FROM met m, (VALUES (1, 1), (1, -1), (-1, 1), (-1, -1)) v(s, t)),
+    span AS (SELECT edge_id, cut_id, any_value(whole) AS whole, greatest(0, coalesce(max(room / slope) FILTER (slope < 0), 0)) AS a, least(1, coalesce(min(room / slope) FILTER (slope > 0), 1)) AS b,
+                    bool_and(slope <> 0 OR room > 0) AS meets FROM plane GROUP BY 1, 2)"""
+
+
+@query("segments_in_polygons", f"WITH {DIAMOND} SELECT edge_id, cut_id, round(a * whole, 6) AS lo, round(b * whole, 6) AS hi FROM span WHERE meets AND b > a + 1e-9", "segs cuts")
+def _(spark, d):
+    made = spatial.segments_in_polygons(view(spark, d, "segs"), diamonds(spark, d), GRID)
+    return made.where("hi > lo + 1e-9 * whole").select("edge_id", "cut_id", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@query("jn_comp_poly_overlap", f"WITH {PARTS} SELECT group_id, acqdate, round(sum(new), 6) AS covered FROM merged GROUP BY 1, 2", "segs cuts")
 def _(spark, d):
     parts = spatial.segments_in_boxes(view(spark, d, "segs"), view(spark, d, "cuts"), GRID)
-    return spatial.merged_length(parts, ["group_id", "edge_id", "acqdate"]).groupBy("group_id", "acqdate").agg(F.sum("covered").alias("covered"))
+    return spatial.merged_length(parts, ["group_id", "edge_id", "acqdate"]).groupBy("group_id", "acqdate").agg(F.round(F.sum("covered"), 6).alias("covered"))
 
 
 @query("date_exposure", "SELECT 'node' AS layer, node_id AS id, norm_input_exp, input_exp_cnt FROM ("
@@ -134,7 +165,7 @@ def _(spark, d):
     return made.select("acqdate", F.round("norm_input_exp", 6).alias("norm_input_exp"), F.size("boxes").cast("long").alias("n_boxes"), "n_cutlines")
 
 
-@query("agg_union_all", "SELECT count(*)::BIGINT AS n_cells, (count(*) * 2500)::DOUBLE AS area FROM (SELECT DISTINCT x.x, y.y FROM cuts, range(0, 3000, 50) x(x), range(0, 2000, 50) y(y) WHERE x.x >= minx AND x.x < maxx AND y.y >= miny AND y.y < maxy) t", "cuts")
+@query("agg_union_all", "SELECT count(*)::BIGINT AS n_cells, (count(*) * 2500)::DOUBLE AS area FROM (SELECT DISTINCT x, unnest(range(miny::BIGINT, maxy::BIGINT, 50)) AS y FROM (SELECT miny, maxy, unnest(range(minx::BIGINT, maxx::BIGINT, 50)) AS x FROM cuts) c) t", "cuts")
 def _(spark, d):
     shrunk = view(spark, d, "cuts").select(F.col("minx") / 50, F.col("miny") / 50, F.col("maxx") / 50, F.col("maxy") / 50).toDF("minx", "miny", "maxx", "maxy")
     from ..operators.raster import rasterize
@@ -147,15 +178,15 @@ AREA = "(maxx - minx) * (maxy - miny)"
 
 
 def covers(spark, d):
-    rows = exposure.cutline_attributes(view(spark, d, "cuts")).withColumn("sub", F.col("cut_id") % 10)
-    area = geometry.box_area(*[F.col(c) for c in spatial.BOX]) * (1 + F.col("sub"))
-    return exposure.coverage(rows.withColumn("area", area), ["sub"], "area", 2e6)
+    rows = exposure.cutline_attributes(view(spark, d, "cuts")).withColumn("sub", F.floor(F.col("cut_id") / 100))
+    area = geometry.box_area(*[F.col(c) for c in spatial.BOX]) * (1 + F.col("sub") % 10)
+    return exposure.coverage(rows.withColumn("area", area), ["sub"], "area", 2e7)
 
 
-query("agg_coverage_exposure", f"SELECT sub, round(greatest(0.0, least(1.0, sum(w * a) / sum(a))), 6) AS exposure FROM (SELECT cut_id % 10 AS sub, {AREA} * (1 + cut_id % 10) AS a, {WEIGHT} AS w FROM cuts) t GROUP BY 1", "cuts")(
+query("agg_coverage_exposure", f"SELECT sub, round(greatest(0.0, least(1.0, sum(w * a) / sum(a))), 6) AS exposure FROM (SELECT cut_id // 100 AS sub, {AREA} * (1 + cut_id // 100 % 10) AS a, {WEIGHT} AS w FROM cuts) t GROUP BY 1", "cuts")(
     lambda spark, d: covers(spark, d).select("sub", F.round("exposure", 6).alias("exposure"))
 )
-query("agg_input_coverage", f"SELECT sub, round(greatest(0.0, least(1.0, sum(a) / 2e6)), 6) AS input_coverage FROM (SELECT cut_id % 10 AS sub, {AREA} * (1 + cut_id % 10) AS a FROM cuts) t GROUP BY 1", "cuts")(
+query("agg_input_coverage", f"SELECT sub, round(greatest(0.0, least(1.0, sum(a) / 2e7)), 6) AS input_coverage FROM (SELECT cut_id // 100 AS sub, {AREA} * (1 + cut_id // 100 % 10) AS a FROM cuts) t GROUP BY 1", "cuts")(
     lambda spark, d: covers(spark, d).select("sub", F.round("input_coverage", 6).alias("input_coverage"))
 )
 
@@ -199,9 +230,9 @@ def _(spark, d):
     return rows.select("cut_id", F.round(geometry.ring_area(F.col("p")), 6).alias("area"), F.round(geometry.line_length(F.col("p")), 6).alias("length"), geometry.bounds(F.col("p")).alias("b")).select("cut_id", "area", "length", "b.*")
 
 
-@query("fn_within", f"SELECT node_id, cut_id FROM pts JOIN cuts ON {INSIDE} WHERE cut_id % 7 = 0", "pts cuts")
+@query("fn_within", f"SELECT node_id, cut_id FROM pts JOIN cuts ON {INSIDE}", "pts cuts")
 def _(spark, d):
-    rings = view(spark, d, "cuts").where("cut_id % 7 = 0").withColumn("p", ring())
+    rings = view(spark, d, "cuts").withColumn("p", ring())
     pairs = spatial.points_in_boxes(view(spark, d, "pts"), rings, GRID)
     return pairs.where(geometry.in_ring(F.col("x"), F.col("y"), F.col("p"))).select("node_id", "cut_id")
 

@@ -1,13 +1,14 @@
-"""GeoTIFF in numpy: strips or tiles, plain or deflated, one or more bands."""
+"""GeoTIFF in numpy: strips or tiles, plain, deflated, LZW or PackBits, one or more bands."""
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,56 @@ SCALE, TIE, MATRIX, GEO_KEYS, NODATA = 33550, 33922, 34264, 34735, 42113
 SIZES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 11: "f", 12: "d", 16: "Q"}
 
 
+def unpacked_lzw(data: bytes) -> bytes:
+    """LZW as TIFF has it: codes of 9 to 12 bits, most significant bit first, one code early; 256 clears, 257 ends."""
+    out: list[bytes] = []
+    table: list[bytes] = []
+    bits = held = at = 0
+    size, before = 9, b""
+    while True:
+        while held < size:
+            if at == len(data):
+                return b"".join(out)
+            bits, held, at = (bits << 8 | data[at]) & 0xFFFFFF, held + 8, at + 1
+        held -= size
+        code = bits >> held & (1 << size) - 1
+        if code == 257:
+            return b"".join(out)
+        if code == 256:
+            table, size, before = [], 9, b""
+            continue
+        if code < 256:
+            entry = bytes((code,))
+        elif code - 258 < len(table):
+            entry = table[code - 258]
+        elif before:
+            entry = before + before[:1]
+        else:
+            raise ValueError("LZW code out of order")
+        out.append(entry)
+        if before:
+            table.append(before + entry[:1])
+            if len(table) + 258 >= (1 << size) - 1 and size < 12:
+                size += 1
+        before = entry
+
+
+def unpacked_bits(data: bytes) -> bytes:
+    """PackBits: a count and that many bytes, or a byte and how often it comes."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out += data[at + 1 : at + 2 + n]
+            at += 2 + n
+        elif n > 128:
+            out += data[at + 1 : at + 2] * (257 - n)
+            at += 2
+        else:
+            at += 1
+    return bytes(out)
+
+
 class Tiff:
     """The first image of a file: ``shape``, ``transform`` (a, b, c, d, e, f), ``epsg``, ``nodata``."""
 
@@ -83,11 +134,18 @@ class Tiff:
             how = self.tags.get(COMPRESSION, (1,))[0]
             if how in (8, 32946):
                 raw = zlib.decompress(raw)
+            elif how == 5:
+                raw = unpacked_lzw(raw)
+            elif how == 32773:
+                raw = unpacked_bits(raw)
             elif how != 1:
                 raise ValueError(f"compression {how} is not read")
             rows = th if tiled else min(th, h - y)
             block = np.frombuffer(raw, dtype=self.dtype, count=rows * tw * inner).reshape(rows, tw, inner)
-            if self.tags.get(PREDICTOR, (1,))[0] == 2:
+            predictor = self.tags.get(PREDICTOR, (1,))[0]
+            if predictor not in (1, 2):
+                raise ValueError(f"predictor {predictor} is not read")
+            if predictor == 2:
                 block = np.cumsum(block, axis=1, dtype=block.dtype)
             part = block[: h - y, : w - x].transpose(2, 0, 1)
             out[band : band + inner, y : y + part.shape[1], x : x + part.shape[2]] = part
@@ -152,17 +210,37 @@ def metadata(files: DataFrame) -> DataFrame:
     return parsed(files, parse, META)
 
 
+#: Pixels of a batch.
+BATCH = 1 << 16
+
+
+def _images(files: DataFrame, bands: Sequence[int], read: Callable[[Tiff], np.ndarray]) -> DataFrame:
+    """The pixels that are not 0 of what ``read`` takes each file to, in batches of columns."""
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                for band, image in zip(bands, read(Tiff(content.as_py())), strict=True):
+                    r, c = np.nonzero(image)
+                    for k in range(0, len(r), BATCH):
+                        y, x = r[k : k + BATCH], c[k : k + BATCH]
+                        n = len(y)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([path]).take(pa.array(np.zeros(n, dtype=np.int64))), pa.array(np.full(n, band, dtype=np.int32)), pa.array(y.astype(np.int64)), pa.array(x.astype(np.int64)), pa.array(image[y, x].astype(np.float64))],
+                            names=["path", "band", "r", "c", "v"],
+                        )
+
+    return files.select("path", "content").mapInArrow(run, "path string, band int, r long, c long, v double")
+
+
 def pixels(files: DataFrame, bands: Sequence[int] = (1,)) -> DataFrame:
     """The pixels of each raster that are not 0: ``path, band, r, c, v``."""
+    return _images(files, bands, lambda t: t.read(bands))
 
-    def parse(path: str, content: bytes) -> list[dict]:
-        out = []
-        for band, image in zip(bands, Tiff(content).read(bands), strict=True):
-            r, c = np.nonzero(image)
-            out += [{"path": path, "band": band, "r": int(y), "c": int(x), "v": float(image[y, x])} for y, x in zip(r, c, strict=True)]
-        return out
 
-    return parsed(files, parse, "path string, band int, r long, c long, v double")
+def bands_resampled(files: DataFrame, factor: float, bands: Sequence[int] = (8, 6, 1)) -> DataFrame:
+    """The pixels of chosen bands, ``factor`` times as many along each side, bilinear: ``path, band, r, c, v``."""
+    return _images(files, bands, lambda t: resampled(t.read(bands).astype(np.float64), factor))
 
 
 def warped(files: DataFrame, target: int, step: float) -> DataFrame:
@@ -191,11 +269,11 @@ def warped(files: DataFrame, target: int, step: float) -> DataFrame:
     return out.join(there, ["path", "sr", "sc"]).select("path", "r", "c", "v")
 
 
-def written(pixels: DataFrame, key: str, transform: Sequence[float], epsg: int, shape: tuple[int, int], value: str = "v") -> DataFrame:
-    """One raster per ``key`` from its pixels: rows ``(name, content)``."""
+def written(pixels: DataFrame, key: str, transform: Sequence[float], epsg: int, shape: tuple[int, int] | None = None, value: str = "v") -> DataFrame:
+    """One raster per ``key`` from its pixels: rows ``(name, content)``. Without a ``shape`` a raster ends at its last pixels."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros(shape, dtype=np.uint8)
+        image = np.zeros(shape or (pdf["r"].max() + 1, pdf["c"].max() + 1), dtype=np.uint8)
         image[pdf["r"], pdf["c"]] = pdf[value]
         return pd.DataFrame({"name": [f"{pdf[key].iloc[0]}_mask.tif"], "content": [write(image, transform, epsg)]})
 

@@ -109,3 +109,14 @@ def test_blocks_give_pixels_back(pixels):
     rows = pixels.withColumn("v", F.lit(1))
     back = raster.from_blocks(raster.to_blocks(rows, ["tile_id"], 4), ["tile_id"])
     assert sorted(map(tuple, back.select("tile_id", "r", "c").collect())) == sorted(map(tuple, pixels.collect()))
+
+
+def test_masks_larger_than_a_task(spark, pixels, monkeypatch):
+    """The paths for whole masks and for cut ones give the same rows."""
+    rng = random.Random(5)
+    noise = spark.createDataFrame([(f"n{k}", r, c) for k in range(2) for r in range(12) for c in range(12) if rng.random() < 0.25 + 0.2 * k], "tile_id string, r long, c long")
+    every = pixels.unionByName(noise)
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    want = [rows(f(every, ["tile_id"])) for f in (graph.labelled, graph.branches)]
+    monkeypatch.setattr(graph, "MASK_PIXELS", 7)
+    assert [rows(f(every, ["tile_id"])) for f in (graph.labelled, graph.branches)] == want

@@ -136,3 +136,40 @@ def test_configuration_and_files(spark, tmp_path):
     assert got.endswith("w")
     with pytest.raises(ValueError, match="checksum"):
         files.fetched(str(tmp_path / "v"), "00", lambda p: open(p, "w").write("1"))
+
+
+def lzw(data):
+    """LZW codes of TIFF, most significant bit first."""
+    table, codes, size, text = {bytes((k,)): k for k in range(256)}, [(256, 9)], 9, b""
+    for k in data:
+        longer = text + bytes((k,))
+        if longer in table:
+            text = longer
+            continue
+        codes.append((table[text], size))
+        table[longer] = len(table) + 2
+        if len(table) + 2 == (1 << size) and size < 12:
+            size += 1
+        if len(table) + 2 >= 4094:
+            codes.append((256, size))
+            table, size = {bytes((k,)): k for k in range(256)}, 9
+        text = bytes((k,))
+    if text:
+        codes.append((table[text], size))
+        if len(table) + 3 == (1 << size) and size < 12:
+            size += 1
+    bits = "".join(f"{c:0{n}b}" for c, n in [*codes, (257, size)])
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def test_other_compressions():
+    rng = np.random.default_rng(0)
+    for data in (b"", b"a", b"ab" * 4000, bytes(20_000), rng.integers(0, 256, 20_000, dtype=np.uint8).tobytes(), rng.integers(0, 3, 50_000, dtype=np.uint8).tobytes()):
+        assert geotiff.unpacked_lzw(lzw(data)) == data
+    assert geotiff.unpacked_bits(bytes((2, 7, 8, 9, 254, 5, 128, 0, 1))) == bytes((7, 8, 9, 5, 5, 5, 1))
+
+
+def test_bands_and_resampling(spark):
+    image = np.arange(1, 25, dtype=np.uint8).reshape(4, 6)
+    got = geotiff.bands_resampled(frame(spark, [("m", geotiff.write(image, (1, 0, 0, 0, -1, 0), 3338))]), 0.5, bands=(1,)).collect()
+    assert {(r["r"], r["c"]): r["v"] for r in got} == {(y, x): image[2 * y : 2 * y + 2, 2 * x : 2 * x + 2].mean() for y in range(2) for x in range(3)}

@@ -21,6 +21,22 @@ def box_overlap(a: tuple, b: tuple) -> Column:
     return box_area(F.greatest(a[0], b[0]), F.greatest(a[1], b[1]), F.least(a[2], b[2]), F.least(a[3], b[3]))
 
 
+def box_around(box: tuple, distance: float) -> dict[str, Column]:
+    """A box ``(minx, miny, maxx, maxy)`` grown by a distance on all sides, as named columns."""
+    names = ("minx", "miny", "maxx", "maxy")
+    return {n: x + F.lit(distance if n.startswith("max") else -distance) for n, x in zip(names, box, strict=True)}
+
+
+def box_wkb(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """A box as WKB, a polygon of one ring."""
+
+    @F.pandas_udf("binary")
+    def made(minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
+        return pd.Series([encode(POLYGON, [[(a, b), (c, b), (c, d), (a, d), (a, b)]]) for a, b, c, d in zip(minx, miny, maxx, maxy, strict=True)], dtype=object)
+
+    return made(minx, miny, maxx, maxy)
+
+
 def span_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Length that two intervals share."""
     return F.greatest(F.least(F.greatest(a0, a1), b1) - F.greatest(F.least(a0, a1), b0), F.lit(0.0))

@@ -19,6 +19,11 @@ def finished(masks: DataFrame, done: DataFrame, name: str = "name") -> DataFrame
     return masks.withColumn("package", expected_package(F.col(name))).join(done.select(F.col(name).alias("package")), "package", "left_semi")
 
 
+def without_aggregate(tiles: DataFrame, summaries: DataFrame, key: str) -> DataFrame:
+    """Tiles for which there is no summary."""
+    return tiles.join(summaries.select(key), key, "left_anti")
+
+
 def status_report(masks: DataFrame, done: DataFrame, name: str = "name", sub: str = "sub") -> DataFrame:
     """Per tile and in all: masks, packages, what is left, and the open subtiles in natural order."""
     rows = masks.withColumn("package", expected_package(F.col(name))).join(done.select(F.col(name).alias("package"), F.lit(True).alias("ok")), "package", "left")

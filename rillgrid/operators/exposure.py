@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import SIGMA, delta_days, exposure, try_date
+from ..functions.geometry import clip_to_box
 from ..functions.numbers import clamp01
-from .spatial import merged_length, points_in_boxes, segments_in_boxes, segments_in_polygons
+from ..functions.overlay import union_by
+from .spatial import merged_length, points_in_boxes, segments_in_boxes, segments_in_polygons, with_cells
 
 
 def cutline_attributes(cutlines: DataFrame, date: str = "acqdate", sigma: float = SIGMA, **peak) -> DataFrame:
@@ -28,6 +30,18 @@ def dissolve_by_date(cutlines: DataFrame, date: str = "acqdate") -> DataFrame:
     return rows.groupBy(date).agg(F.first("norm_input_exp").alias("norm_input_exp"), F.sort_array(F.collect_set(box)).alias("boxes"), F.count("*").alias("n_cutlines"))
 
 
+def dissolved(cutlines: DataFrame, keys: Sequence[str], size: float, geom: str = "geom") -> DataFrame:
+    """The union of the polygons of each group, cut by grid cells: ``keys, gx, gy, geom``.
+
+    Polygons go, clipped, to the cells of ``size`` that their boxes ``(minx, ...)`` touch,
+    so a task unites what lies in one cell, however many polygons a group has.
+    """
+    cells = with_cells(cutlines, size)
+    edge = lambda c, k: (F.col(c) + k).cast("double") * F.lit(float(size))
+    parts = cells.withColumn(geom, clip_to_box(F.col(geom), edge("gx", 0), edge("gy", 0), edge("gx", 1), edge("gy", 1)))
+    return union_by(parts.where(F.col(geom).isNotNull()), [*keys, "gx", "gy"], geom)
+
+
 def node_exposure(points: DataFrame, cutlines: DataFrame, size: float, node: str = "node_id", date: str = "acqdate") -> DataFrame:
     """Mean weight and number of the dates whose cutlines hold a node, 0 where none does."""
     weighed = cutline_attributes(cutlines.where(F.col(date).isNotNull()), date)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import geometry, names
+from ..functions import geometry, names, overlay
 from ..operators import audit
 from ..sources import files, geojson, geotiff, gpkg, shapefile
 from ..storage import shared_folder
@@ -97,8 +97,8 @@ def _(spark, d):
 HAS = f"EXISTS (SELECT 1 FROM done d WHERE d.name = concat(regexp_replace(regexp_replace(e.name, '\\.[^.]*$', ''), '(?i)[_-]mask$', ''), '_TCN.gpkg'))"
 query("jn_resume_anti", f"SELECT tile_id, sub FROM expected e WHERE NOT {HAS}", "expected done")(lambda spark, d: audit.pending(expected(spark, d), done(spark, d)).select("tile_id", "sub"))
 query("jn_resume_semi", f"SELECT tile_id, sub FROM expected e WHERE {HAS}", "expected done")(lambda spark, d: audit.finished(expected(spark, d), done(spark, d)).select("tile_id", "sub"))
-query("jn_missing_agg", "SELECT DISTINCT c_custkey AS tile_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(
-    lambda spark, d: table(spark, d, "customer").select(F.col("c_custkey").alias("tile_id")).join(view(spark, d, "files").select("tile_id"), "tile_id", "left_anti")
+query("jn_missing_agg", "SELECT c_custkey AS tile_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01')")(
+    lambda spark, d: audit.without_aggregate(table(spark, d, "customer").select(F.col("c_custkey").alias("tile_id")), view(spark, d, "files").where("modified >= TIMESTAMP '2000-01-01'"), "tile_id")
 )
 STATUS = f"""WITH s AS (SELECT tile_id, sub, {HAS} AS ok FROM expected e)
     SELECT CAST(tile_id AS VARCHAR) AS tile_id, count(*)::BIGINT AS total, count(*) FILTER (ok)::BIGINT AS done, count(*) FILTER (NOT ok)::BIGINT AS balance, coalesce(string_agg(CAST(sub AS VARCHAR), ',' ORDER BY sub) FILTER (NOT ok), '') AS pending FROM s GROUP BY tile_id
@@ -159,7 +159,57 @@ def merged(spark, d):
 
 
 query("jn_attr_merge", MERGED)(merged)
-query("snk_attr_update", MERGED)(merged)
+
+
+@query("snk_attr_update", "SELECT concat('/p/', n_regionkey, '.gpkg') AS path, n_nationkey::BIGINT AS k, (CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey * 10 ELSE n_nationkey END)::BIGINT AS v FROM nation")
+def _(spark, d):
+    """A layer's rows set by key inside the packages, and read back."""
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p = gpkg.Package()
+        p.write("Nodes", pdf[["k", "v"]], {"k": "bigint", "v": "bigint"}, key="k")
+        new = pdf[pdf["k"] % 3 == 0].assign(v=lambda x: x["k"] * 10)
+        again = gpkg.Package(p.content())
+        again.update("Nodes", ["k"], new, ["v"])
+        return pd.DataFrame({"path": [f"/p/{key[0]}.gpkg"], "content": [again.content()]})
+
+    rows = table(spark, d, "nation").select("n_regionkey", F.col("n_nationkey").cast("long").alias("k"), F.col("n_nationkey").cast("long").alias("v"))
+    made = rows.groupBy("n_regionkey").applyInPandas(build, "path string, content binary")
+    return gpkg.read_table(made, "Nodes", "k long, v long")
+
+
+@query("snk_add_field", "SELECT concat('/p/', n_regionkey, '.gpkg') AS path, n_nationkey::BIGINT AS k, CASE WHEN n_nationkey >= 100 THEN n_nationkey - 100 END::DOUBLE AS norm_input_exp FROM (SELECT * FROM nation UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation) t")
+def _(spark, d):
+    """Rows with a field that the layer does not have yet: it is added, null in the rows before."""
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p = gpkg.Package()
+        p.write("Nodes", pdf[["k"]], {"k": "bigint"})
+        more = pdf.assign(norm_input_exp=pdf["k"].astype(float), k=pdf["k"] + 100)
+        p.write("Nodes", more, {"k": "bigint", "norm_input_exp": "double"}, mode="append")
+        return pd.DataFrame({"path": [f"/p/{key[0]}.gpkg"], "content": [p.content()]})
+
+    made = table(spark, d, "nation").select("n_regionkey", F.col("n_nationkey").cast("long").alias("k")).groupBy("n_regionkey").applyInPandas(build, "path string, content binary")
+    return gpkg.read_table(made, "Nodes", "k long, norm_input_exp double")
+
+
+@query("snk_delete_layer", "SELECT concat('/p/', r_regionkey, '.gpkg') AS path, CASE WHEN r_regionkey % 2 = 0 THEN 'Edges' ELSE 'Nodes' END AS layer FROM region")
+def _(spark, d):
+    """Of an empty package's two layers one is dropped, with all the package says of it."""
+
+    def build(frames):
+        for pdf in frames:
+            out = []
+            for k in pdf["r_regionkey"]:
+                p = gpkg.Package()
+                for layer in ("Edges", "Nodes"):
+                    p.write(layer, pd.DataFrame({"k": []}), {"k": "bigint"})
+                p.drop("Nodes" if k % 2 == 0 else "Edges")
+                out.append((f"/p/{k}.gpkg", p.content()))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    made = table(spark, d, "region").select("r_regionkey").mapInPandas(build, "path string, content binary")
+    return gpkg.read_table(made, "gpkg_contents", "table_name string").select("path", F.col("table_name").alias("layer"))
 query("prj_align", "SELECT n_nationkey AS tile_id, NULL::VARCHAR AS wkt, n_name AS name, NULL::DOUBLE AS area FROM nation")(
     lambda spark, d: audit.aligned(table(spark, d, "nation").select(F.col("n_nationkey").alias("tile_id"), F.col("n_name").alias("name"), "n_regionkey"), [("tile_id", dict(table(spark, d, "nation").dtypes)["n_nationkey"]), ("wkt", "string"), ("name", "string"), ("area", "double")])
 )
@@ -310,12 +360,12 @@ def collections(spark, d):
     box = geometry.box_ring(*[F.col(c) for c in ("minx", "miny", "maxx", "maxy")])
     ring = F.concat(F.lit("["), F.array_join(F.transform(box, lambda p: F.concat(F.lit("["), p["x"].cast("string"), F.lit(","), p["y"].cast("string"), F.lit("]"))), ","), F.lit("]"))
     feature = F.concat(F.lit('{"type":"Feature","properties":{},"geometry":{"type":"Polygon","coordinates":['), ring, F.lit("]}}"))
-    rows = view(spark, d, "cuts").groupBy((F.col("cut_id") % 10).alias("k")).agg(F.array_join(F.sort_array(F.collect_list(feature)), ",").alias("f"))
+    rows = view(spark, d, "cuts").groupBy(F.floor(F.col("cut_id") / 10).alias("k")).agg(F.array_join(F.sort_array(F.collect_list(feature)), ",").alias("f"))
     text = F.concat(F.lit('{"type":"FeatureCollection","crs":{"properties":{"name":"EPSG:3338"}},"features":['), "f", F.lit("]}"))
     return rows.select(F.concat(F.lit("/w/"), F.col("k").cast("string"), F.lit(".geojson")).alias("path"), F.encode(text, "UTF-8").alias("content"))
 
 
-POLYGONS = "SELECT concat('/w/', cut_id % 10, '.geojson') AS path, 'EPSG:3338' AS crs, count(*)::BIGINT AS n, sum((maxx - minx) * (maxy - miny)) AS area FROM cuts GROUP BY 1"
+POLYGONS = "SELECT concat('/w/', cut_id // 10, '.geojson') AS path, 'EPSG:3338' AS crs, count(*)::BIGINT AS n, sum((maxx - minx) * (maxy - miny)) AS area FROM cuts GROUP BY 1"
 
 
 def polygons(spark, d):
@@ -328,13 +378,11 @@ query("src_geojson", POLYGONS, "cuts")(polygons)
 query("src_ogr_polygons", POLYGONS, "cuts")(polygons)
 
 
-@query("ocean_load", "SELECT count(*)::BIGINT AS n, sum((maxx - minx - 20) * (maxy - miny - 20)) AS area FROM cuts", "cuts")
+@query("ocean_load", "SELECT concat('/w/', cut_id // 10, '.geojson') AS path, count(*)::BIGINT AS n, sum((maxx - minx - 20) * (maxy - miny - 20)) AS area FROM cuts GROUP BY 1", "cuts")
 def _(spark, d):
-    """Water polygons read, kept polygonal, shrunk by 10 and measured (boxes, so exactly)."""
-    rings = geojson.rings(geojson.flattened(geojson.read_polygons(collections(spark, d))))
-    box = rings.select(geometry.bounds(F.col("points")).alias("b")).select("b.*")
-    shrunk = geometry.box_area(F.col("minx") + 10, F.col("miny") + 10, F.col("maxx") - 10, F.col("maxy") - 10)
-    return box.agg(F.count("*").alias("n"), F.sum(shrunk).alias("area"))
+    """Water polygons read, repaired, and kept 10 from their border, as WKB of each."""
+    shapes = geojson.flattened(geojson.read_polygons(collections(spark, d))).select("path", overlay.buffer_in(overlay.make_valid(F.col("geom")), 10.0).alias("geom"))
+    return shapes.groupBy("path").agg(F.count("geom").alias("n"), F.round(F.sum(geometry.polygon_area(F.col("geom"))), 3).alias("area"))
 
 
 @query("src_shp_tiles", "SELECT concat('sub', cut_id) AS tilename, (maxx - minx) * (maxy - miny) AS area FROM cuts", "cuts")
@@ -347,7 +395,7 @@ def _(spark, d):
         stem = f"/t/Mosaic_{frame['k'].iloc[0]}_tiles"
         return pd.DataFrame({"path": [f"{stem}.shp", f"{stem}.dbf"], "content": [shp, dbf]})
 
-    cuts = view(spark, d, "cuts").drop("acqdate").withColumn("k", F.col("cut_id") % 7)
+    cuts = view(spark, d, "cuts").drop("acqdate").withColumn("k", F.floor(F.col("cut_id") / 50))
     got = shapefile.read(cuts.groupBy("k").applyInPandas(build, "path string, content binary")).where(geometry.is_polygonal(F.col("geom")))
     rings = geojson.rings(got.select(names.norm_key(F.col("attributes")["TILENAME"]).alias("tilename"), "geom"))
     return rings.select("tilename", geometry.ring_area(F.col("points")).alias("area"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import dates, geometry, projections
+from ..functions import dates, geometry, overlay, projections
 from ..operators import exposure, spatial
 from .proxies import table, view
 from .registry import query
@@ -159,19 +159,28 @@ def _(spark, d):
     return out.unionByName(named(shared("edge_id")(spark, d), "edge", "edge_id")).unionByName(named(shared("group_id")(spark, d), "component", "group_id"))
 
 
-@query("agg_dissolve_date", f"SELECT acqdate, round(any_value({WEIGHT}), 6) AS norm_input_exp, count(DISTINCT (minx, miny, maxx, maxy))::BIGINT AS n_boxes, count(*)::BIGINT AS n_cutlines FROM cuts GROUP BY 1", "cuts")
+# Cells of 50 that the cutlines' boxes cover.
+CELLS = "SELECT acqdate, x, unnest(range(miny::BIGINT, maxy::BIGINT, 50)) AS y FROM (SELECT acqdate, miny, maxy, unnest(range(minx::BIGINT, maxx::BIGINT, 50)) AS x FROM cuts) c"
+
+
+def drawn(spark, d):
+    return view(spark, d, "cuts").withColumn("geom", geometry.box_wkb(*[F.col(c) for c in spatial.BOX]))
+
+
+@query("agg_dissolve_date", f"WITH a AS (SELECT acqdate, count(*) * 2500::DOUBLE AS area FROM (SELECT DISTINCT * FROM ({CELLS}) t) u GROUP BY 1), w AS (SELECT acqdate, round(any_value({WEIGHT}), 6) AS norm_input_exp, count(DISTINCT (minx, miny, maxx, maxy))::BIGINT AS n_boxes, count(*)::BIGINT AS n_cutlines FROM cuts GROUP BY 1) SELECT * FROM w JOIN a USING (acqdate)", "cuts")
 def _(spark, d):
+    """One row per date: its weight, cutlines, and the area of their union."""
     made = exposure.dissolve_by_date(view(spark, d, "cuts"))
-    return made.select("acqdate", F.round("norm_input_exp", 6).alias("norm_input_exp"), F.size("boxes").cast("long").alias("n_boxes"), "n_cutlines")
+    made = made.select("acqdate", F.round("norm_input_exp", 6).alias("norm_input_exp"), F.size("boxes").cast("long").alias("n_boxes"), "n_cutlines")
+    area = exposure.dissolved(drawn(spark, d), ["acqdate"], 1000.0).groupBy("acqdate").agg(F.round(F.sum(geometry.polygon_area(F.col("geom"))), 3).alias("area"))
+    return made.join(area, "acqdate")
 
 
-@query("agg_union_all", "SELECT count(*)::BIGINT AS n_cells, (count(*) * 2500)::DOUBLE AS area FROM (SELECT DISTINCT x, unnest(range(miny::BIGINT, maxy::BIGINT, 50)) AS y FROM (SELECT miny, maxy, unnest(range(minx::BIGINT, maxx::BIGINT, 50)) AS x FROM cuts) c) t", "cuts")
+@query("agg_union_all", f"SELECT floor(x / 1000)::BIGINT AS gx, floor(y / 1000)::BIGINT AS gy, count(*) * 2500::DOUBLE AS area FROM (SELECT DISTINCT x, y FROM ({CELLS}) t) u GROUP BY 1, 2", "cuts")
 def _(spark, d):
-    shrunk = view(spark, d, "cuts").select(F.col("minx") / 50, F.col("miny") / 50, F.col("maxx") / 50, F.col("maxy") / 50).toDF("minx", "miny", "maxx", "maxy")
-    from ..operators.raster import rasterize
-
-    cells = rasterize(shrunk, []).distinct()
-    return cells.agg(F.count("*").alias("n_cells"), (F.count("*") * 2500).cast("double").alias("area"))
+    """The union of all cutlines, cell by cell, as polygons."""
+    made = exposure.dissolved(drawn(spark, d), [], 1000.0)
+    return made.select("gx", "gy", F.round(geometry.polygon_area(F.col("geom")), 3).alias("area"))
 
 
 AREA = "(maxx - minx) * (maxy - miny)"
@@ -208,7 +217,12 @@ def clipped(spark, d):
 
 
 query("jn_clip_extent", CLIP, "cuts")(clipped)
-query("water_clip", CLIP, "cuts")(clipped)
+query("water_clip", f"SELECT cut_id, round((maxx - minx) * (maxy - miny), 6) AS area FROM ({CLIP}) t", "cuts")(
+    lambda spark, d: drawn(spark, d)
+    .select("cut_id", geometry.clip_to_box(F.col("geom"), *[F.lit(float(x)) for x in (250, 125, 1225, 800)]).alias("geom"))
+    .where("geom IS NOT NULL")
+    .select("cut_id", F.round(geometry.polygon_area(F.col("geom")), 6).alias("area"))
+)
 
 
 @query("fn_intersection", "SELECT a.cut_id, b.cut_id AS other, greatest(least(a.maxx, b.maxx) - greatest(a.minx, b.minx), 0) * greatest(least(a.maxy, b.maxy) - greatest(a.miny, b.miny), 0) AS area FROM cuts a JOIN cuts b ON a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy AND a.cut_id < b.cut_id", "cuts")
@@ -239,14 +253,15 @@ def _(spark, d):
 
 @query("fn_box", "SELECT cut_id, minx - 1.0 AS minx, miny - 1.0 AS miny, maxx + 1.0 AS maxx, maxy + 1.0 AS maxy FROM cuts", "cuts")
 def _(spark, d):
-    grown = {c: F.col(c) + (1 if c.startswith("max") else -1) * 2 * 0.5 for c in spatial.BOX}
-    return view(spark, d, "cuts").withColumns(grown).select("cut_id", *spatial.BOX)
+    return view(spark, d, "cuts").withColumns(geometry.box_around(tuple(F.col(c) for c in spatial.BOX), 1.0)).select("cut_id", *spatial.BOX)
 
 
-@query("fn_neg_buffer", "SELECT cut_id, minx + 60 AS minx, miny + 60 AS miny, maxx - 60 AS maxx, maxy - 60 AS maxy FROM cuts WHERE maxx - minx > 120 AND maxy - miny > 120", "cuts")
+@query("fn_neg_buffer", "SELECT cut_id, (maxx - minx - 120) * (maxy - miny - 120) AS area, 2 * ((maxx - minx) / 2 - 60 / sqrt(0.5::DOUBLE)) * ((maxx - minx) / 2 - 60 / sqrt(0.5::DOUBLE)) > 0 AS diamond FROM cuts", "cuts")
 def _(spark, d):
-    shrunk = {c: F.col(c) + (-60 if c.startswith("max") else 60) for c in spatial.BOX}
-    return view(spark, d, "cuts").withColumns(shrunk).where("maxx > minx AND maxy > miny").select("cut_id", *spatial.BOX)
+    """Boxes, and the diamonds in them, without a margin of 60: diamonds vanish."""
+    whole = drawn(spark, d).select("cut_id", overlay.buffer_in(F.col("geom"), 60.0).alias("geom"))
+    thin = diamonds(spark, d).select("cut_id", overlay.buffer_in(F.col("geom"), 60.0).isNotNull().alias("gone"))
+    return whole.join(thin, "cut_id").select("cut_id", F.round(geometry.polygon_area(F.col("geom")), 3).alias("area"), (~F.col("gone")).alias("diamond"))
 
 
 @query("fn_simplify")
@@ -300,11 +315,26 @@ def _(spark, d):
     return shapes(spark, d).select("node_id", geometry.wkb_type(back).cast("int").alias("kind"))
 
 
-@query("fn_make_valid", "SELECT node_id FROM pts WHERE node_id % 4 IN (2, 3)", "pts")
+@query("fn_make_valid", "SELECT node_id, [2, 1, 1, 0][(node_id % 4 + 1)::INTEGER]::INTEGER AS n_parts, [2.0, 3.0, 2.0, 0.0][(node_id % 4 + 1)::INTEGER]::DOUBLE AS area FROM pts", "pts")
 def _(spark, d):
-    from ..sources.geojson import flattened
+    """Bow ties, squares with a hole that touches the border, spikes, and nothing but a line."""
+
+    @F.pandas_udf("binary")
+    def broken(k: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(k, x, y):
+            shapes = (
+                [[(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]],
+                [[(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)], [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]],
+                [[(0, 0), (2, 0), (2, 1), (5, 1), (2, 1), (0, 1), (0, 0)]],
+                [[(0, 0), (3, 3), (1, 1), (0, 0)]],
+            )
+            return geometry.encode(geometry.POLYGON, [[(x + a, y + b) for a, b in ring] for ring in shapes[k % 4]])
+
+        return pd.Series([one(*r) for r in zip(k, x, y, strict=True)], dtype=object)
 
-    return flattened(shapes(spark, d)).select("node_id")
+    rows = view(spark, d, "pts").select("node_id", overlay.make_valid(broken("node_id", "x", "y")).alias("geom"))
+    parts = F.conv(F.hex(F.substring("geom", 6, 1)), 16, 10).cast("int")
+    return rows.select("node_id", F.coalesce(parts, F.lit(0)).alias("n_parts"), F.round(F.coalesce(geometry.polygon_area(F.col("geom")), F.lit(0.0)), 3).alias("area"))
 
 
 def lonlat(spark, d):

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset a local one."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; a local one only in a local session."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir", None)
+        if where is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that driver and executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="rillgrid-checkpoint-"))
     return sc.getCheckpointDir()
 

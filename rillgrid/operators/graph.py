@@ -95,6 +95,12 @@ def _placed(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pixels.select(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
 
 
+def _grouped(pixels: DataFrame, keys: Sequence[str]):
+    """Masks as groups, dealt to all partitions: they are few bytes and much work, so none are merged."""
+    n = int(pixels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _placed(pixels, keys).repartition(n, *keys).groupBy(*keys)
+
+
 def _schema(df: DataFrame, keys: Sequence[str]) -> str:
     kinds = dict(df.dtypes)
     return ", ".join(f"{k} {kinds[k]}" for k in keys)
@@ -140,7 +146,7 @@ def _labelled_whole(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
         return pa.table({**{k: table.column(k) for k in keys}, **{k: pa.array(v) for k, v in columns.items()}})
 
     schema = f"{_schema(pixels, keys)}, r long, c long, node_id long, degree long, root long, component_id long, is_key boolean"
-    return _placed(pixels, keys).groupBy(*keys).applyInArrow(label, schema)
+    return _grouped(pixels, keys).applyInArrow(label, schema)
 
 
 def _labelled_cut(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -257,7 +263,7 @@ def _branches_whole(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
             "n_pixels": pa.array(x["n_pixels"], pa.int64()), "is_open_edge": pa.array((~m.key[x["b"]]).astype(np.int32)), "points": x["points"],
         })
 
-    return _placed(pixels, keys).groupBy(*keys).applyInArrow(trace, f"{_schema(pixels, keys)}, edge_id long, {BRANCH}")
+    return _grouped(pixels, keys).applyInArrow(trace, f"{_schema(pixels, keys)}, edge_id long, {BRANCH}")
 
 
 def _branches_cut(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:

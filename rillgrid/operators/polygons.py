@@ -7,10 +7,9 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.geometry import MULTI_POLYGON, encode, simplify
-from .graph import _links, _roots
+from .graph import _grouped, _links, _roots
 
 #: Steps along the sides of a pixel, its inside always on the same hand: (dr, dc).
 STEPS = np.array([(0, 1), (1, 0), (0, -1), (-1, 0)])
@@ -174,7 +173,6 @@ def polygonize(
         out = {k: pa.array([table.column(k)[0].as_py()] * len(rows), table.column(k).type) for k in keys}
         return pa.table({**out, **{n: pa.array([x[i] for x in rows], t) for i, (n, t) in enumerate(zip(names, types, strict=True))}})
 
-    placed = pixels.select(*keys, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
-    return placed.groupBy(*keys).applyInArrow(
+    return _grouped(pixels, keys).applyInArrow(
         trace, f"{schema}, component_id long, mask_value int, n_parts long, n_holes long, n_points long, area double, geom binary"
     )

@@ -271,7 +271,7 @@ def _(spark, d):
 
 @query("snk_raster_table", "SELECT tile_id, r, c, 1 AS v FROM px", "px")
 def _(spark, d):
-    return raster.from_blocks(raster.to_blocks(px(spark, d).withColumn("v", F.lit(1)), KEY, 16), KEY)
+    return raster.from_blocks(raster.to_blocks(px(spark, d).withColumn("v", F.lit(1)), KEY, 128), KEY)
 
 
 OVER = "SELECT tile_id, floor(r / {k})::BIGINT AS r, floor(c / {k})::BIGINT AS c, arg_min(v, r * 100000 + c)::BIGINT AS v FROM (SELECT *, r * 32 + c AS v FROM px) p GROUP BY 1, 2, 3"

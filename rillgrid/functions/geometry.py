@@ -108,7 +108,7 @@ def is_polygonal(wkb: Column) -> Column:
 def encode(kind: int, parts: list) -> bytes:
     """WKB of a point ``(x, y)``, a line of points, a polygon of rings, or a multi of those."""
     head = struct.pack("<BI", 1, kind)
-    points = lambda ps: struct.pack("<I", len(ps)) + b"".join(struct.pack("<dd", *p[:2]) for p in ps)
+    points = lambda ps: struct.pack(f"<I{2 * len(ps)}d", len(ps), *[v for p in ps for v in p[:2]])
     if kind == POINT:
         return head + struct.pack("<dd", *parts[:2])
     if kind == LINE:

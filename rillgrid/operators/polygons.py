@@ -68,62 +68,88 @@ def boundary(r: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return row[by], col[by], ring
 
 
-def simple_rings(row: np.ndarray, col: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """A ring that passes a corner more than once, cut into rings that do not."""
-    seen: dict[tuple[int, int], int] = {}
-    path: list[tuple[int, int]] = []
+def simple_rings(corners: list[int]) -> list[list[int]]:
+    """A ring that passes a corner more than once, cut into rings that do not, each as its places in the ring."""
+    seen: dict[int, int] = {}
+    path: list[int] = []
     out = []
-    for p in zip(row.tolist(), col.tolist(), strict=True):
+    for i, p in enumerate(corners):
         if p in seen:
             loop = path[seen[p] :]
             out.append(loop)
             for q in loop[1:]:
-                del seen[q]
+                del seen[corners[q]]
             del path[seen[p] + 1 :]
         else:
             seen[p] = len(path)
-            path.append(p)
+            path.append(i)
     out.append(path)
-    return [(np.array([p[0] for p in x]), np.array([p[1] for p in x])) for x in out if len(x) >= 4]
+    return [x for x in out if len(x) >= 4]
+
+
+def _starts(ring: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], ring[1:] != ring[:-1]]))
+
+
+def _single(corner: np.ndarray, ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of steps in an order where no ring passes a corner twice, and the ring that each was of."""
+    by = np.lexsort((corner, ring))
+    again = by[1:][(ring[by][1:] == ring[by][:-1]) & (corner[by][1:] == corner[by][:-1])]
+    cut = _starts(ring)
+    stop = np.append(cut, len(ring))[1:]
+    places, owners, done = [], [], 0
+    for k in np.unique(ring[again]):
+        places.append(np.arange(done, cut[k]))
+        owners.append(ring[done : cut[k]] * 2)
+        for n, loop in enumerate(simple_rings(corner[cut[k] : stop[k]].tolist())):
+            places.append(np.array(loop) + cut[k])
+            owners.append(np.full(len(loop), k * 2 + n % 2))  # loops that follow each other differ
+        done = stop[k]
+    places.append(np.arange(done, len(ring)))
+    owners.append(ring[done:] * 2)
+    return np.concatenate(places), np.concatenate(owners)
 
 
 def mask_polygons(r: np.ndarray, c: np.ndarray, transform: Sequence[float], eight: bool, tolerance: float) -> list[tuple[int, list]]:
     """``(region, polygons)`` of pixels sorted by row and column; a polygon is its outer ring and holes.
 
-    Regions are numbered by their first pixel; polygons of one region only touch.
+    Regions are numbered by their first pixel; polygons of one region only touch. All
+    rings are worked on at once; only those that pass a corner twice are walked.
     """
     links = _links(r - r.min(), c - c.min())
     side = (r[links[0]] == r[links[1]]) | (c[links[0]] == c[links[1]])
     part = _roots(len(r), links[0][side], links[1][side])
     region = _roots(len(r), *links) if eight else part
     row, col, ring = boundary(r, c)
-    cut = np.flatnonzero(np.concatenate([[True], ring[1:] != ring[:-1]]))
-    stop = np.append(cut, len(ring))[1:]
-    corner = row * (int(col.max()) + 1) + col
-    twice = np.zeros(len(cut), dtype=bool)
-    by = np.lexsort((corner, ring))
-    twice[ring[by][1:][(ring[by][1:] == ring[by][:-1]) & (corner[by][1:] == corner[by][:-1])]] = True
+    # The pixel inside the first step tells which part a ring belongs to.
+    cut = _starts(ring)
+    ahead = np.stack([row[cut + 1] - row[cut], col[cut + 1] - col[cut]], axis=1)
+    way = (ahead[:, None, :] == STEPS[None, :, :]).all(axis=2).argmax(axis=1)
     width = int(c.max()) + 3
-    place = r * width + c
+    owner = part[np.searchsorted(r * width + c, (row[cut] - CORNER[way, 0]) * width + col[cut] - CORNER[way, 1])]
+    place, piece = _single(row * (int(col.max()) + 1) + col, ring)
+    y, x = row[place], col[place]
+    start = _starts(piece)
+    size = np.diff(np.append(start, len(piece)))
+    owner = owner[piece[start] // 2]
+    before, after = np.arange(len(piece)) - 1, np.arange(len(piece)) + 1
+    before[start], after[start + size - 1] = start + size - 1, start
+    outer = np.add.reduceat(x * y[after] - x[after] * y, start) > 0
+    # Sides of pixels are one long, so a step goes on where it came from exactly if the way does not turn.
+    bend = (y[before] - y) * (x[after] - x) != (x[before] - x) * (y[after] - y)
+    count = np.add.reduceat(bend.astype(np.int64), start)
+    x, y = x[bend].astype(float), y[bend].astype(float)
     a, b, x0, d, e, y0 = transform
-    parts: dict[int, list] = {}
-    for k, (i, j) in enumerate(zip(cut, stop, strict=True)):
-        whole = row[i:j], col[i:j]
-        # The pixel inside the first step tells which part the ring belongs to.
-        dr, dc = int(row[(i + 1) if i + 1 < j else i] - row[i]), int(col[(i + 1) if i + 1 < j else i] - col[i])
-        way = int(np.flatnonzero((STEPS == (dr, dc)).all(axis=1))[0])
-        owner = int(part[np.searchsorted(place, (row[i] - CORNER[way, 0]) * width + col[i] - CORNER[way, 1])])
-        for y, x in simple_rings(*whole) if twice[k] else [whole]:
-            bend = (np.roll(y, 1) - y) * (np.roll(x, -1) - x) != (np.roll(x, 1) - x) * (np.roll(y, -1) - y)
-            bend |= ((np.roll(y, 1) == np.roll(y, -1)) & (np.roll(x, 1) == np.roll(x, -1)))
-            x, y = x[bend].astype(float), y[bend].astype(float)
-            doubled = float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())
-            line = list(zip((a * x + b * y + x0).tolist(), (d * x + e * y + y0).tolist(), strict=True))
-            parts.setdefault(owner, []).append((doubled > 0, _thinned([*line, line[0]], tolerance)))
+    points = list(zip((a * x + b * y + x0).tolist(), (d * x + e * y + y0).tolist(), strict=True))
+    parts: dict[int, tuple[list, list]] = {}
+    at = 0
+    for n, who, is_outer in zip(count.tolist(), owner.tolist(), outer.tolist(), strict=True):
+        line = points[at : at + n]
+        at += n
+        parts.setdefault(who, ([], []))[not is_outer].append(_thinned([*line, line[0]], tolerance))
     out: dict[int, list] = {}
-    for owner, rings in parts.items():
-        polygon = [x for outer, x in rings if outer] + [x for outer, x in rings if not outer]
-        out.setdefault(int(region[owner]), []).append(polygon)
+    for who, (shells, holes) in parts.items():
+        out.setdefault(int(region[who]), []).append(shells + holes)
     return sorted(out.items())
 
 

@@ -24,6 +24,8 @@ VOTERS, EVIDENCE, PRECISION = 400, 18.0, 0.9
 TRUST = 0.9
 #: Lengths of the word starts that are tried as patterns.
 STARTS = (4, 5, 6, 7)
+#: A start repeats in a text that has it in so many words at least, and in one word of so many.
+REPEATS, ONE_IN = 2, 200
 
 # Common insults, as voters that need no labelled rows.
 INSULTS = (
@@ -38,14 +40,27 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str) -> set[str]:
-    """``=word`` for each word of a text in lower case, ``^start`` for the starts of words."""
-    words = set(_WORD.findall(text.lower()))
+    """``=word`` for each word of a text in lower case, ``^start`` for the starts of words, ``+start`` for those that repeat.
+
+    A start that clean text has now and then, by chance, may still mark a text that has
+    it again and again; the rate that is asked for keeps long texts from having it by length.
+    """
+    words = Counter(_WORD.findall(text.lower()))
     out = {f"={w}" for w in words}
     for n in STARTS:
-        out.update(f"^{w[:n]}" for w in words if len(w) > n)
+        starts: Counter = Counter()
+        for w, k in words.items():
+            if len(w) > n:
+                starts[w[:n]] += k
+        out.update(f"^{x}" for x in starts)
+        out.update(f"+{x}" for x, k in starts.items() if _repeats(k, words.total()))
     return out
 
 
+def _repeats(k: int, words: int) -> bool:
+    return k >= REPEATS and k * ONE_IN >= words
+
+
 @dataclass
 class Model:
     """Voters with the weights of the linear classifier."""
@@ -74,7 +89,7 @@ def _machine(voters: list[str]):
         machine = ahocorasick.Automaton()
         by_text: dict[str, list] = {}
         for k, v in enumerate(voters):
-            by_text.setdefault(v[1:], []).append((k, v[0] == "="))
+            by_text.setdefault(v[1:], []).append((k, v[0]))
         for text, marks in by_text.items():
             machine.add_word(text, (len(text), marks))
         if by_text:
@@ -88,21 +103,29 @@ def _letter(c: str) -> bool:
 
 
 def _votes(voters: list[str], texts: list[str]) -> np.ndarray:
-    """Which voters find their word, or start of a word, in each text; the others abstain."""
+    """Which voters find their word, or start of a word, once or repeated, in each text; the others abstain."""
     out = np.zeros((len(texts), len(voters)), dtype=np.float32)
     machine = _machine(voters)
     if not len(machine):
         return out
     for row, text in enumerate(texts):
         low = text.lower()
+        seen: Counter = Counter()
         for stop, (size, marks) in machine.iter(low):
             start = stop - size + 1
             if start and _letter(low[start - 1]):
                 continue
             whole = stop + 1 >= len(low) or not _letter(low[stop + 1])
-            for k, exact in marks:
-                if whole == exact:
-                    out[row, k] = 1
+            for k, kind in marks:
+                if whole == (kind == "="):
+                    if kind == "+":
+                        seen[k] += 1
+                    else:
+                        out[row, k] = 1
+        if seen and max(seen.values()) >= REPEATS:
+            words = len(_WORD.findall(low))
+            for k, times in seen.items():
+                out[row, k] = _repeats(times, words)
     return out
 
 
@@ -244,13 +267,14 @@ def fit(
         precision = k1 * stands[1] / (k1 * stands[1] + (k0 + 1) * stands[0])
         good = counts.where((F.col("term") != "") & (k1 >= 3) & (precision >= PRECISION) & (rate < 1)).withColumn("gain", gain).where(F.col("gain") >= EVIDENCE)
         # A voter whose word has a start that votes already would never vote alone.
-        starts: set[str] = set()
+        starts: dict[str, set[str]] = {"^": set(), "+": set()}
         for row in good.orderBy(F.desc("gain"), F.length("term"), "term").limit(20 * VOTERS).collect():
             kind, word = row["term"][0], row["term"][1:]
-            if len(voters) < VOTERS and not any(word[:n] in starts for n in STARTS if n < len(word) or kind == "^"):
+            known = starts["^"] | starts["+"] if kind == "+" else starts["^"]
+            if len(voters) < VOTERS and not any(word[:n] in known for n in STARTS if n < len(word) or kind != "="):
                 voters.append(row["term"])
-                if kind == "^":
-                    starts.add(word)
+                if kind != "=":
+                    starts[kind].add(word)
     voters = list(dict.fromkeys(voters))
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -103,3 +103,33 @@ def test_repeated_ids_and_a_column_named_score(corpus, spark):
     made = toxicity.score(docs, a)
     assert made.columns == ["doc_id", "text", "score", "_score"]
     assert {r["score"] for r in made.collect()} == {"zz", "yy", None, "q"}
+
+
+def test_votes_are_the_terms_of_a_text():
+    rng = random.Random(6)
+    words = ["grubzen", "grubzes", "Grubzal", "grub", "stone", "STONES", "mill", "millet", "été", "x1grubzen"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))) + rng.choice(["", ".", " pad" * 900]) for _ in range(200)] + ["", "grubzen" * 3]
+    voters = sorted({t for x in texts for t in toxicity.terms(x)})
+    assert any(v[0] == "+" for v in voters)
+    votes = toxicity._votes(voters, texts)
+    for row, text in zip(votes, texts, strict=True):
+        assert {v for v, fired in zip(voters, row, strict=True) if fired} == toxicity.terms(text)
+
+
+def test_a_start_that_only_repeats_in_toxic_text(spark):
+    """Clean text has the start too, once in a while; long clean text has it often but thinly."""
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}" for a in ("ba", "lo", "mi", "ter") for b in ("ran", "sto", "vel") for c in ("do", "ki", "nu", "sa")]
+    rows, labels = [], []
+    for k in range(1200):
+        toxic, size = k % 8 == 0, 2500 if k % 40 == 1 else rng.randint(20, 200)
+        text = rng.choices(words, k=size)
+        for _ in range(rng.randint(2, 4) if toxic else 4 if size == 2500 else rng.random() < 0.15):
+            text.insert(rng.randrange(len(text)), f"grubzen{rng.choice(words)}")
+        rows.append((k, " ".join(text)))
+        labels.append((k, 1, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, known)
+    assert any(v.startswith("+grub") for v in model.voters) and not any(v.startswith("^grub") for v in model.voters)
+    right = (model.scores([r[1] for r in rows]) >= 0.5) == np.array([r[2] == 1 for r in labels])
+    assert right.mean() >= 0.98

@@ -253,12 +253,12 @@ def simplify(points: list, tolerance: float) -> list:
     return [points[k] for k in sorted(keep)]
 
 
-def segment_parts(x0: float, y0: float, x1: float, y1: float, wkb: bytes | None) -> list[tuple[float, float]]:
+def segment_parts(x0: float, y0: float, x1: float, y1: float, wkb: bytes | None, borders: bool = True) -> list[tuple[float, float]]:
     """The parts of a segment inside a geometry's polygons, as distances from its start.
 
     The segment is cut where it crosses a ring; a part counts if its middle is inside, by
-    an odd number of rings. A part along a border is inside if the polygon lies above it
-    or, for an upright one, to its right.
+    an odd number of rings. With ``borders`` a part along a border is inside if the polygon
+    lies above it or, for an upright one, to its right; without, no part along one is.
     """
     rings = [r for p in polygons(wkb) for r in p]
     whole = ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5
@@ -272,9 +272,18 @@ def segment_parts(x0: float, y0: float, x1: float, y1: float, wkb: bytes | None)
         t = ((p[:, 0] - x0) * ey - (p[:, 1] - y0) * ex) / turn
         u = ((p[:, 0] - x0) * dy - (p[:, 1] - y0) * dx) / turn
     hit = (turn != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)
-    cuts = np.unique(np.concatenate([[0.0, 1.0], t[hit]]))
+    cuts = [[0.0, 1.0], t[hit]]
+    if not borders:
+        # Sides in line with the segment, from and to which share of it; where two lie on one another is no border.
+        line = (turn == 0) & ((p[:, 0] - x0) * dy == (p[:, 1] - y0) * dx)
+        ends = [((e[line, 0] - x0) * dx + (e[line, 1] - y0) * dy) / (dx * dx + dy * dy) for e in (p, q)]
+        first, last = np.minimum(*ends), np.maximum(*ends)
+        cuts += [e[(e > 0) & (e < 1)] for e in (first, last)]
+    cuts = np.unique(np.concatenate(cuts))
     out: list[tuple[float, float]] = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if not borders and ((first < (a + b) / 2) & ((a + b) / 2 < last)).sum() % 2:
+            continue
         x, y = x0 + dx * (a + b) / 2, y0 + dy * (a + b) / 2
         across = (p[:, 1] > y) != (q[:, 1] > y)
         crossed = across & (x < ex * (y - p[:, 1]) / np.where(across, ey, 1.0) + p[:, 0])

@@ -70,16 +70,17 @@ def segments_in_boxes(segments: DataFrame, boxes: DataFrame, size: float) -> Dat
     return pair.withColumns({"lo": lo * whole, "hi": hi * whole, "whole": whole}).where("hi > lo")
 
 
-def segments_in_polygons(segments: DataFrame, polygons: DataFrame, size: float, geom: str = "geom") -> DataFrame:
+def segments_in_polygons(segments: DataFrame, polygons: DataFrame, size: float, geom: str = "geom", borders: bool = True) -> DataFrame:
     """The same for polygons and multi-polygons as WKB: a row for each part that a polygon holds.
 
     Bounding boxes (columns ``minx`` to ``maxy`` of ``polygons``) find the candidates.
+    ``borders`` is as in ``geometry.segment_parts``.
     """
     found = segments_in_boxes(segments, polygons, size).drop("lo", "hi")
 
     @F.pandas_udf("array<struct<lo: double, hi: double>>")
     def parts(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, geom: pd.Series) -> pd.Series:
-        return pd.Series([[{"lo": a, "hi": b} for a, b in segment_parts(*x)] for x in zip(x0, y0, x1, y1, geom, strict=True)], dtype=object)
+        return pd.Series([[{"lo": a, "hi": b} for a, b in segment_parts(*x, borders=borders)] for x in zip(x0, y0, x1, y1, geom, strict=True)], dtype=object)
 
     return found.withColumn("part", F.explode(parts("x0", "y0", "x1", "y1", geom))).select("*", "part.lo", "part.hi").drop("part")
 

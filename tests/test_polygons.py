@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from rillgrid.functions import geometry
 from rillgrid.operators import raster, spatial
 from rillgrid.operators.graph import _links, _roots
 from rillgrid.operators.polygons import mask_polygons, polygonize, ring_area
+from rillgrid.plans import ORACLES, QUERIES
 
 
 def inside(x, y, ring):
@@ -70,6 +72,30 @@ def test_segments_in_polygons_with_holes(spark):
         assert abs(got[k] - share * ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5) < 0.05
 
 
+def test_segments_along_borders():
+    wkb = geometry.encode(geometry.POLYGON, [[(0, 0), (4, 4), (8, 0), (8, 8), (0, 8), (0, 0)]])
+    along = lambda *s: geometry.segment_parts(*s, wkb, borders=False)
+    assert along(1, 1, 3, 3) == along(3, 3, 1, 1) == along(0, 1, 0, 5) == along(8, 8, 2, 8) == []
+    assert along(0, 4, 8, 4) == [(0.0, 8.0)]
+    [(lo, hi)] = along(2, 2, 6, 6)  # half along the border, half inside
+    assert abs(lo - 8**0.5) < 1e-12 and abs(hi - 32**0.5) < 1e-12
+    halves = geometry.encode(geometry.MULTI_POLYGON, [[[(0, 0), (2, 0), (2, 4), (0, 4), (0, 0)]], [[(2, 0), (4, 0), (4, 4), (2, 4), (2, 0)]]])
+    assert geometry.segment_parts(2, -1, 2, 5, halves, borders=False) == [(1.0, 5.0)]  # between two parts there is no border
+    assert geometry.segment_parts(0, -1, 0, 5, halves, borders=False) == []
+
+
+def test_segments_query_along_diamonds(spark, tmp_path):
+    """A segment along the lower right side of one diamond and inside others, as in the tables of 0.1 GB."""
+    spark.createDataFrame([(33350, 10)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(250000, 250400).selectExpr("id AS o_orderkey", "timestamp'2020-07-01' AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    for name in ("part", "orders"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    made = QUERIES["segments_in_polygons"](spark, str(tmp_path))
+    want = con.sql(f"SELECT edge_id, cut_id, lo, hi FROM ({ORACLES['segments_in_polygons']}) t").fetchall()
+    assert want and sorted(map(tuple, made.select("edge_id", "cut_id", "lo", "hi").collect())) == sorted(want)
+
+
 def test_overlapping_chips_see_mirrored_frames(spark):
     """Each chip is what a mirrored frame shows there, and scores are averaged where chips overlap."""
     rng = np.random.default_rng(1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,8 @@ def box_wkb(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
 
     @F.pandas_udf("binary")
     def made(minx: pd.Series, miny: pd.Series, maxx: pd.Series, maxy: pd.Series) -> pd.Series:
-        return pd.Series([encode(POLYGON, [[(a, b), (c, b), (c, d), (a, d), (a, b)]]) for a, b, c, d in zip(minx, miny, maxx, maxy, strict=True)], dtype=object)
+        a, b, c, d = (v.to_numpy(dtype=float) for v in (minx, miny, maxx, maxy))
+        return pd.Series(encode_rings(POLYGON, np.stack([a, b, c, b, c, d, a, d, a, b], axis=1).reshape(-1, 5, 2)), dtype=object)
 
     return made(minx, miny, maxx, maxy)
 
@@ -171,6 +173,69 @@ def polygons(wkb: bytes | None) -> list:
     return []
 
 
+def encode_rings(kind: int, rings: np.ndarray) -> list[bytes]:
+    """WKB of many polygons, or multi-polygons of one, each of one ring: ``rings`` is ``(polygon, point, 2)``."""
+    n, k, _ = rings.shape
+    ring = [(0.0, 0.0)] * k
+    blank = np.frombuffer(encode(kind, [ring] if kind == POLYGON else [[ring]]), dtype=np.uint8)
+    size = len(blank)
+    block = np.tile(blank, (n, 1))
+    block[:, size - 16 * k :] = np.ascontiguousarray(rings, dtype="<f8").view(np.uint8).reshape(n, 16 * k)
+    data = block.tobytes()
+    return [data[at : at + size] for at in range(0, n * size, size)]
+
+
+#: Layouts of one length that are read at once; geometries of more are read one by one.
+LAYOUTS = 8
+
+
+def _layout(wkb: bytes) -> list[list[tuple[int, int]]] | None:
+    """Place in bytes and number of points of each ring of each polygon; None for what is not plain polygons."""
+    o = "<" if wkb[0] else ">"
+    (kind,) = struct.unpack_from(f"{o}I", wkb, 1)
+    if kind not in (POLYGON, MULTI_POLYGON):
+        return None
+    n, at = (1, 5) if kind == POLYGON else (struct.unpack_from(f"{o}I", wkb, 5)[0], 9)
+    found = []
+    for _ in range(n):
+        if kind == MULTI_POLYGON:
+            if wkb[at] != wkb[0] or struct.unpack_from(f"{o}I", wkb, at + 1)[0] != POLYGON:
+                return None
+            at += 5
+        (count,) = struct.unpack_from(f"{o}I", wkb, at)
+        at, rings = at + 4, []
+        for _ in range(count):
+            (k,) = struct.unpack_from(f"{o}I", wkb, at)
+            rings.append((at + 4, k))
+            at += 4 + 16 * k
+        found.append(rings)
+    return found
+
+
+def by_layout(wkbs: Sequence[bytes | None]) -> Iterator[tuple[np.ndarray, list[list[np.ndarray]] | None]]:
+    """Geometries of one layout at a time: which they are, and of each polygon the rings, ``(geometry, point, 2)``.
+
+    Each comes once. None for the rings says that these should be read one by one.
+    """
+    sizes = np.array([0 if w is None else len(w) for w in wkbs], dtype=np.int64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        if size >= 9:
+            block = np.frombuffer(b"".join([wkbs[k] for k in at]), dtype=np.uint8).reshape(-1, size)
+            for _ in range(LAYOUTS):
+                if not len(at) or (layout := _layout(block[0].tobytes())) is None:
+                    break
+                head = np.ones(size, dtype=bool)
+                for start, k in (r for p in layout for r in p):
+                    head[start : start + 16 * k] = False
+                same = (block[:, head] == block[0, head]).all(axis=1)
+                form, mine = "<f8" if block[0, 0] else ">f8", block[same]
+                yield at[same], [[np.ascontiguousarray(mine[:, a : a + 16 * k]).view(form).reshape(-1, k, 2).astype(float) for a, k in p] for p in layout]
+                at, block = at[~same], block[~same]
+        if len(at):
+            yield at, None
+
+
 def to_multi_polygon(wkb: Column) -> Column:
     """Polygons and collections as multi-polygons; null where nothing is polygonal."""
 
@@ -184,13 +249,24 @@ def to_multi_polygon(wkb: Column) -> Column:
 def polygon_area(wkb: Column) -> Column:
     """Area of a geometry's polygons, holes taken off; 0 where nothing is polygonal."""
 
-    def ring(points: list) -> float:
-        x, y = np.array(points, dtype=float)[:, :2].T
-        return abs(float(np.dot(x[:-1], y[1:]) - np.dot(x[1:], y[:-1]))) / 2
+    def ring(p: np.ndarray) -> np.ndarray:
+        # From the first point, so that places far off lose no digits.
+        x, y = np.moveaxis(p - p[:, :1], 2, 0)
+        return np.abs((x[:, :-1] * y[:, 1:] - x[:, 1:] * y[:, :-1]).sum(axis=1)) / 2
+
+    def whole(parts: list) -> np.ndarray | float:
+        return sum(ring(p[0]) - sum(map(ring, p[1:])) for p in parts if p)
 
     @F.pandas_udf("double")
     def area(wkb: pd.Series) -> pd.Series:
-        return wkb.map(lambda w: float(sum(ring(p[0]) - sum(map(ring, p[1:])) for p in polygons(w)))).astype(float)
+        out, found = np.zeros(len(wkb)), wkb.tolist()
+        for at, parts in by_layout(found):
+            if parts is not None:
+                out[at] = whole(parts)
+                continue
+            for k in at:
+                out[k] = np.sum(whole([[np.array(r, dtype=float).reshape(1, -1, 2) for r in p] for p in polygons(found[k])]))
+        return pd.Series(out)
 
     return area(wkb)
 

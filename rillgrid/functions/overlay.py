@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .geometry import MULTI_POLYGON, encode, polygons
+from .geometry import MULTI_POLYGON, by_layout, encode, encode_rings, polygons
 
 #: Sides or places compared in step, and the pieces of a quarter circle.
 STEP, QUARTER = 1 << 20, 8
+#: Sides of a polygon that is repaired together with others; one with more is repaired alone.
+FEW = 64
 
 
 def _sides(rings: Sequence[list]) -> np.ndarray:
@@ -148,6 +150,11 @@ def overlay(operands: Sequence[Sequence[list]], keep: Callable[[np.ndarray], np.
     left = keep(np.array([_inside(mx + nx, my + ny, s) for s in each]))
     right = keep(np.array([_inside(mx - nx, my - ny, s) for s in each]))
     chosen = [((a, b), (c, d)) if inner else ((c, d), (a, b)) for (a, b, c, d), inner, other in zip(pieces.tolist(), left, right, strict=True) if inner != other]
+    return _assembled(chosen, grid, low)
+
+
+def _assembled(chosen: list[tuple], grid: float, low: np.ndarray) -> list:
+    """Polygons whose border the chosen pieces are, each with the inside to its left."""
     outer, holes = [], []
     for ring in _loops(chosen):
         straight = [(q[0] - p[0]) * (r[1] - q[1]) == (q[1] - p[1]) * (r[0] - q[0]) for p, q, r in zip(ring[-1:] + ring[:-1], ring, ring[1:] + ring[:1], strict=True)]
@@ -216,6 +223,74 @@ def repaired(rings: list) -> list:
     return [rings] if _is_convex(rings) else overlay([rings], lambda held: held[0])
 
 
+def _together(sides: np.ndarray) -> list[list]:
+    """``repaired`` for polygons of as many sides each, ``(polygon, side, 4)``, none of them without length."""
+    n, few, _ = sides.shape
+    step = max(1, STEP // (4 * few * few))
+    if n > step:
+        return [p for k in range(0, n, step) for p in _together(sides[k : k + step])]
+    ends = sides.reshape(n, -1, 2)
+    low = ends.min(axis=1)
+    grid = (ends.max(axis=1) - low).max(axis=1) * 1e-9
+    s = (sides - np.tile(low, 2)[:, None]) / grid[:, None, None]
+    # Where each side is cut, as shares of it: by each other side, as in _pieces.
+    x0, y0, x1, y1 = np.moveaxis(s, 2, 0)[..., None]
+    a, b, c, d = np.moveaxis(s, 2, 0)[:, :, None]
+    dx, dy, ex, ey = x1 - x0, y1 - y0, c - a, d - b
+    long, other = np.hypot(dx, dy), np.hypot(ex, ey)
+    near = (np.minimum(x0, x1) <= np.maximum(a, c) + 1) & (np.minimum(a, c) <= np.maximum(x0, x1) + 1) & (np.minimum(y0, y1) <= np.maximum(b, d) + 1) & (np.minimum(b, d) <= np.maximum(y0, y1) + 1)
+    near &= ~np.eye(few, dtype=bool)
+    turn, off = dx * ey - dy * ex, (a - x0) * dy - (b - y0) * dx
+    flat = np.abs(turn) <= 1e-12 * long * other
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = ((a - x0) * ey - (b - y0) * ex) / turn, off / turn
+    hit = near & ~flat & (t >= -1 / long) & (t <= 1 + 1 / long) & (u >= -1 / other) & (u <= 1 + 1 / other)
+    along = np.abs(off) <= long
+    along = near & flat & (along | along.transpose(0, 2, 1))
+    size = dx * dx + dy * dy
+    first, last = ((a - x0) * dx + (b - y0) * dy) / size, ((c - x0) * dx + (d - y0) * dy) / size
+    ts = np.concatenate([np.where(hit, t, np.where(along, first, 0.0)), np.where(along, last, 0.0), np.zeros_like(x0), np.ones_like(x0)], axis=2)
+    ts = np.sort(np.clip(ts, 0.0, 1.0), axis=2)
+    x, y = np.rint(x0 + ts * dx), np.rint(y0 + ts * dy)
+    # Different pieces of each polygon, from the lesser end to the greater.
+    p, q = np.stack([x[..., :-1], y[..., :-1]], axis=-1), np.stack([x[..., 1:], y[..., 1:]], axis=-1)
+    own, *_ = at = np.nonzero((p != q).any(axis=-1))
+    p, q = p[at], q[at]
+    back = (p[:, 0] > q[:, 0]) | ((p[:, 0] == q[:, 0]) & (p[:, 1] > q[:, 1]))
+    pieces = np.column_stack([own, np.where(back[:, None], q, p), np.where(back[:, None], p, q)])
+    pieces = pieces[np.lexsort(pieces.T[::-1])]
+    pieces = pieces[np.r_[True, (pieces[1:] != pieces[:-1]).any(axis=1)][: len(pieces)]]
+    own, (ax, ay, bx, by) = pieces[:, 0].astype(int), pieces[:, 1:].T
+    length = np.hypot(bx - ax, by - ay)
+    away = np.minimum(100.0, length / 4)
+    mx, my, nx, ny = (ax + bx) / 2, (ay + by) / 2, -(by - ay) / length * away, (bx - ax) / length * away
+
+    def inside(px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(px), dtype=bool)
+        for k in range(0, len(px), max(1, STEP // few)):
+            part = slice(k, k + max(1, STEP // few))
+            fx, fy, tx, ty = np.moveaxis(s[own[part]], 2, 0)
+            v = py[part, None]
+            at = fx + (tx - fx) * (v - fy) / np.where(ty == fy, 1.0, ty - fy)
+            out[part] = (((fy > v) != (ty > v)) & (px[part, None] < at)).sum(axis=1) % 2 == 1
+        return out
+
+    left, right = inside(mx + nx, my + ny), inside(mx - nx, my - ny)
+    kept = left != right
+    chosen = [((a, b), (c, d)) if inner else ((c, d), (a, b)) for (_, a, b, c, d), inner in zip(pieces[kept].tolist(), left[kept].tolist(), strict=True)]
+    bounds = np.searchsorted(own[kept], np.arange(n + 1)).tolist()
+    return [_assembled(chosen[i:j], float(g), lo) for i, j, g, lo in zip(bounds, bounds[1:], grid, low, strict=False)]
+
+
+def _turns_once(p: np.ndarray) -> np.ndarray:
+    """Which rings ``(ring, point, 2)``, without their last point, only turn one way, once round."""
+    step = np.roll(p, -1, axis=1) - p
+    then = np.roll(step, -1, axis=1)
+    turn = step[..., 0] * then[..., 1] - step[..., 1] * then[..., 0]
+    around = np.arctan2(turn, (step * then).sum(axis=2)).sum(axis=1)
+    return ((turn > 0).all(axis=1) | (turn < 0).all(axis=1)) & (np.abs(around) <= 2 * math.pi + 1e-6)
+
+
 def _convex(ring: list, distance: float) -> list | None:
     """``shrunk`` for a ring that only turns one way: cut by each side moved inwards. None for others."""
     p = np.array([x[:2] for x in ring[:-1]], dtype=float)
@@ -259,22 +334,51 @@ def shrunk(rings: list, distance: float) -> list:
     return overlay([rings, *rims], lambda held: held[0] & ~held[1:].any(axis=0))
 
 
-def _mapped(run: Callable[[bytes], list], wkb: Column) -> Column:
+def _mapped(run: Callable[[list], list], wkb: Column) -> Column:
     @F.pandas_udf("binary")
     def made(wkb: pd.Series) -> pd.Series:
-        return wkb.map(lambda w: encode(MULTI_POLYGON, ps) if w is not None and (ps := run(w)) else None)
+        return pd.Series(run(wkb.tolist()), dtype=object)
 
     return made(wkb)
 
 
+def _packing(found: list) -> bytes | None:
+    return encode(MULTI_POLYGON, found) if found else None
+
+
+def _valid(wkbs: list) -> list:
+    """``make_valid`` for many: single polygons of as many sides are repaired together."""
+    out, todo = [None] * len(wkbs), {}
+    for at, parts in by_layout(wkbs):
+        alone = np.ones(len(at), dtype=bool)
+        if parts is not None and len(parts) == 1 and parts[0]:
+            if len(parts[0]) == 1 and parts[0][0].shape[1] >= 4:
+                alone &= ~(round_ := _turns_once(parts[0][0][:, :-1]))
+                for k, made in zip(at[round_].tolist(), encode_rings(MULTI_POLYGON, parts[0][0][round_]), strict=True):
+                    out[k] = made
+            sides = [np.concatenate([r[:, :-1], r[:, 1:]], axis=2) for r in parts[0] if r.shape[1] >= 4]
+            if 0 < sum(x.shape[1] for x in sides) <= FEW:
+                sides = np.concatenate(sides, axis=1)
+                full = alone & (sides[..., :2] != sides[..., 2:]).any(axis=2).all(axis=1)
+                todo.setdefault(sides.shape[1], []).append((at[full], sides[full]))
+                alone &= ~full
+        for k in at[alone].tolist():
+            out[k] = _packing(united(polygons(wkbs[k])))
+    for lots in todo.values():
+        at, sides = (np.concatenate(x) for x in zip(*lots, strict=True))
+        for k, found in zip(at.tolist(), _together(sides) if len(at) else [], strict=True):
+            out[k] = _packing(found)
+    return out
+
+
 def make_valid(wkb: Column) -> Column:
     """A geometry's polygons, each repaired, and united; null where nothing is left."""
-    return _mapped(lambda w: united([[r for p in repaired(q) for r in p] for q in polygons(w)]), wkb)
+    return _mapped(_valid, wkb)
 
 
 def buffer_in(wkb: Column, distance: float) -> Column:
     """A geometry's polygons without a margin of ``distance``; null where nothing is left."""
-    return _mapped(lambda w: [p for q in united(polygons(w)) for p in shrunk(q, distance)], wkb)
+    return _mapped(lambda wkbs: [_packing([p for q in united(polygons(w)) for p in shrunk(q, distance)]) for w in wkbs], wkb)
 
 
 def union_by(rows: DataFrame, keys: Sequence[str], geom: str = "geom") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 
@@ -75,6 +76,39 @@ def test_inward_buffers():
                 assert covered(x, y, made) == (odd(x, y, [ring]) and far > 1)
 
 
+def test_repairs_of_many_are_made_together():
+    """Each place is covered once if its polygon's rings say so, whatever lies beside it in the batch."""
+    rng = random.Random(8)
+    shapes = [[shape(rng, k % 2) for _ in range(rng.randint(1, 2))] for k in range(400)]
+    # Repaired first and united after, this one lost three parts.
+    shapes.append([[(11.423491820825184, 7.879878068528869), (7.778433654748492, 3.533913325193669), (8.431506632745423, 5.95792387191394), (1.3702877483041198, 3.7440591204068454), (4.1201096553431755, 9.554436134222684), (3.101049999185951, 3.041497787816986), (8.761826769421932, 11.720859307863503), (11.423491820825184, 7.879878068528869)],
+                   [(5.1798665657972975, 11.70664116926355), (2.704488159823225, 4.767784429770268), (0.42391255964357777, 11.51871980669149), (5.348022196108605, 6.075711757973652), (5.119980324331118, 9.986938853913522), (11.723713872634873, 7.569262039465682), (8.340610699349597, 5.41014032571278), (5.1798665657972975, 11.70664116926355)]])
+    kinds = [geometry.encode(geometry.POLYGON, s) if k % 3 else geometry.encode(geometry.MULTI_POLYGON, [[r] for r in s]) for k, s in enumerate(shapes)]
+    for k, (rings, made) in enumerate(zip(shapes, overlay._valid([None, *kinds])[1:], strict=True)):
+        found = geometry.polygons(made)
+        assert all(len(set(r[:-1])) == len(r) - 1 and r[0] == r[-1] for p in found for r in p)
+        for _ in range(60):
+            x, y = rng.uniform(-1, 13), rng.uniform(-1, 13)
+            if min(distance(x, y, r) for r in rings) > 1e-6:
+                assert covered(x, y, found) == (odd(x, y, rings) if k % 3 else any(odd(x, y, [r]) for r in rings))
+
+
+def test_repairs_are_quick(spark):
+    """20,000 bow ties, squares with a hole at their border, spikes and lines: one by one they took over 20 s of one core."""
+    shapes = (
+        [[(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]], [[(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)], [(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)]],
+        [[(0, 0), (2, 0), (2, 1), (5, 1), (2, 1), (0, 1), (0, 0)]], [[(0, 0), (3, 3), (1, 1), (0, 0)]],
+    )
+    wkbs = [geometry.encode(geometry.POLYGON, [[(x + k % 700, y + 40.0 * k) for x, y in r] for r in shapes[k % 4]]) for k in range(20_000)]
+    rows = spark.createDataFrame([(k, bytearray(w)) for k, w in enumerate(wkbs)], "k long, geom binary")
+    began = time.process_time()
+    made = overlay._valid(wkbs)
+    assert time.process_time() - began < 10
+    assert [len(geometry.polygons(w)) for w in made] == [(2, 1, 1, 0)[k % 4] for k in range(20_000)]
+    area = rows.select("k", geometry.polygon_area(overlay.make_valid(rows.geom)).alias("a")).collect()
+    assert all(abs(r["a"] - (2, 3, 2, 0)[r["k"] % 4]) < 1e-6 for r in area)
+
+
 def test_columns(spark):
     bow = geometry.encode(geometry.POLYGON, [[(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]])
     line = geometry.encode(geometry.LINE, [(0, 0), (1, 1)])

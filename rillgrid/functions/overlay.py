@@ -291,33 +291,52 @@ def _turns_once(p: np.ndarray) -> np.ndarray:
     return ((turn > 0).all(axis=1) | (turn < 0).all(axis=1)) & (np.abs(around) <= 2 * math.pi + 1e-6)
 
 
+def _packed(points: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kept points of each row first, and how many they are."""
+    many = keep.sum(axis=1)
+    order = np.argsort(~keep, axis=1, kind="stable")[:, : max(1, int(many.max(initial=0)))]
+    return np.take_along_axis(points, order[..., None], axis=1), many
+
+
+def _inwards(p: np.ndarray, distance: float) -> tuple[np.ndarray, np.ndarray]:
+    """``shrunk`` for rings that ``_turns_once`` holds for: cut by each side moved inwards. Points ``(ring, point, 2)`` and how many, 0 if nothing is left."""
+    a, b, c = p[:, 0], p[:, 1], p[:, 2]
+    back = (b[:, 0] - a[:, 0]) * (c[:, 1] - b[:, 1]) < (b[:, 1] - a[:, 1]) * (c[:, 0] - b[:, 0])
+    p = np.where(back[:, None, None], p[:, ::-1], p)
+    step = np.roll(p, -1, axis=1) - p
+    left, many = p, np.full(len(p), p.shape[1])
+    for k in range(p.shape[1]):
+        (x0, y0), (dx, dy) = p[:, k].T[..., None], step[:, k].T[..., None]
+        place = np.arange(left.shape[1])
+        there, after = place < many[:, None], np.where(place + 1 < many[:, None], place + 1, 0)
+        far = ((left[..., 1] - y0) * dx - (left[..., 0] - x0) * dy) / np.hypot(dx, dy) - distance
+        then = np.take_along_axis(far, after, axis=1)
+        across = there & ((far >= 0) != (then >= 0))
+        share = far / np.where(across, far - then, 1.0)
+        met = np.where(across[..., None], left + share[..., None] * (np.take_along_axis(left, after[..., None], axis=1) - left), left)
+        width = 2 * left.shape[1]
+        left, many = _packed(np.stack([left, met], axis=2).reshape(len(p), width, 2), np.stack([there & (far >= 0), across], axis=2).reshape(len(p), width))
+        place = np.arange(left.shape[1])
+        before = np.where(place > 0, place - 1, many[:, None] - 1)
+        again = (left == np.take_along_axis(left, before[..., None], axis=1)).all(axis=2)
+        left, many = _packed(left, (place < many[:, None]) & (~again | (many[:, None] == 1)))
+    place = np.arange(left.shape[1])
+    x, y = np.moveaxis(left - left[:, :1], 2, 0)
+    after = np.where(place + 1 < many[:, None], place + 1, 0)
+    doubled = np.where(place < many[:, None], x * np.take_along_axis(y, after, axis=1) - np.take_along_axis(x, after, axis=1) * y, 0.0).sum(axis=1)
+    return left, np.where((many >= 3) & (doubled > 0), many, 0)
+
+
 def _convex(ring: list, distance: float) -> list | None:
-    """``shrunk`` for a ring that only turns one way: cut by each side moved inwards. None for others."""
-    p = np.array([x[:2] for x in ring[:-1]], dtype=float)
-    if len(p) < 3:
+    """``shrunk`` for a ring that only turns one way. None for others."""
+    p = np.array([[x[:2] for x in ring[:-1]]], dtype=float)
+    if p.shape[1] < 3:
         return []
-    step = np.roll(p, -1, axis=0) - p
-    turn = step[:, 0] * np.roll(step[:, 1], -1) - step[:, 1] * np.roll(step[:, 0], -1)
-    around = np.arctan2(turn, (step * np.roll(step, -1, axis=0)).sum(axis=1)).sum()
-    if not ((turn > 0).all() or (turn < 0).all()) or abs(around) > 2 * math.pi + 1e-6:
+    if not _turns_once(p)[0]:
         return None
-    if turn[0] < 0:
-        p = p[::-1]
-        step = np.roll(p, -1, axis=0) - p
-    left = [tuple(x) for x in p.tolist()]
-    for (x0, y0), (dx, dy) in zip(p.tolist(), step.tolist(), strict=True):
-        size = math.hypot(dx, dy)
-        far = [((y - y0) * dx - (x - x0) * dy) / size - distance for x, y in left]
-        cut = []
-        for k, (x, y) in enumerate(left):
-            if far[k] >= 0:
-                cut.append((x, y))
-            j = (k + 1) % len(left)
-            if (far[k] >= 0) != (far[j] >= 0):
-                t = far[k] / (far[k] - far[j])
-                cut.append((x + t * (left[j][0] - x), y + t * (left[j][1] - y)))
-        left = [q for k, q in enumerate(cut) if q != cut[k - 1] or len(cut) == 1]
-    return [[[*left, left[0]]]] if len(left) >= 3 and _doubled(left) > 0 else []
+    points, many = _inwards(p, distance)
+    left = [tuple(x) for x in points[0, : many[0]].tolist()]
+    return [[[*left, left[0]]]] if left else []
 
 
 def shrunk(rings: list, distance: float) -> list:
@@ -371,6 +390,24 @@ def _valid(wkbs: list) -> list:
     return out
 
 
+def _less(wkbs: list, distance: float) -> list:
+    """``buffer_in`` for many: those of one ring that only turns one way are cut together."""
+    out = [None] * len(wkbs)
+    for at, parts in by_layout(wkbs):
+        alone = np.ones(len(at), dtype=bool)
+        if parts is not None and len(parts) == 1 and len(parts[0]) == 1 and parts[0][0].shape[1] >= 4:
+            p = parts[0][0][:, :-1]
+            alone = ~(round_ := _turns_once(p))
+            left, many = _inwards(p[round_], distance)
+            for n in np.unique(many[many > 0]):
+                mine = many == n
+                for k, made in zip(at[round_][mine].tolist(), encode_rings(MULTI_POLYGON, left[mine][:, [*range(n), 0]]), strict=True):
+                    out[k] = made
+        for k in at[alone].tolist():
+            out[k] = _packing([p for q in united(polygons(wkbs[k])) for p in shrunk(q, distance)])
+    return out
+
+
 def make_valid(wkb: Column) -> Column:
     """A geometry's polygons, each repaired, and united; null where nothing is left."""
     return _mapped(_valid, wkb)
@@ -378,7 +415,7 @@ def make_valid(wkb: Column) -> Column:
 
 def buffer_in(wkb: Column, distance: float) -> Column:
     """A geometry's polygons without a margin of ``distance``; null where nothing is left."""
-    return _mapped(lambda wkbs: [_packing([p for q in united(polygons(w)) for p in shrunk(q, distance)]) for w in wkbs], wkb)
+    return _mapped(lambda wkbs: _less(wkbs, distance), wkb)
 
 
 def union_by(rows: DataFrame, keys: Sequence[str], geom: str = "geom") -> DataFrame:

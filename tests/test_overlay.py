@@ -7,6 +7,7 @@ import time
 import pytest
 
 from rillgrid.functions import geometry, overlay
+from rillgrid.plans import QUERIES
 
 
 def odd(x, y, rings):
@@ -117,3 +118,31 @@ def test_columns(spark):
     assert got[2] is None and got[3] is None and len(geometry.polygons(bytes(got[1]))) == 2
     assert rows.select(overlay.buffer_in(rows.geom, 5.0).alias("g")).where("g is not null").count() == 0
     assert overlay.union_by(rows, ["k"]).count() == 1
+
+
+def test_inward_buffers_of_many():
+    """Rings that turn one way are cut together; they match the places of each alone, others go their own way."""
+    rng = random.Random(9)
+    shapes = []
+    for k in range(300):
+        a = sorted(rng.uniform(0, 2 * math.pi) for _ in range(rng.randint(3, 8)))
+        ring = [(10 * math.cos(t), 6 * math.sin(t) + 1e6 * (k % 2)) for t in (a if k % 4 < 2 else a[::-1])]
+        shapes.append([*ring, ring[0]])
+    hollow = geometry.encode(geometry.POLYGON, [[(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)], [(4, 4), (6, 4), (6, 6), (4, 6), (4, 4)]])
+    made = overlay._less([*(geometry.encode(geometry.POLYGON, [r]) for r in shapes), None, hollow], 1.0)
+    for k, (ring, wkb) in enumerate(zip(shapes, made, strict=False)):
+        found = geometry.polygons(wkb)
+        for _ in range(60):
+            x, y = rng.uniform(-10, 10), rng.uniform(-6, 6) + 1e6 * (k % 2)
+            if abs((far := distance(x, y, ring)) - 1) > 1e-6:
+                assert covered(x, y, found) == (odd(x, y, [ring]) and far > 1)
+    assert made[-2] is None and len(geometry.polygons(made[-1])[0]) == 2
+
+
+def test_buffers_query_takes_each_row_by_itself(spark, tmp_path):
+    """Nothing is joined or shuffled, so keys that come twice stay two rows."""
+    spark.createDataFrame([(7,), (7,), (8,)], "o_orderkey long").selectExpr("o_orderkey", "timestamp'2020-07-01' AS o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    made = QUERIES["fn_neg_buffer"](spark, str(tmp_path))
+    assert sorted(map(tuple, made.select("cut_id", "area", "diamond").collect())) == [(7, 900.0, True), (7, 900.0, True), (8, 900.0, True)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" not in plan

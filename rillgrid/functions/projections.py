@@ -1,4 +1,4 @@
-"""Ellipsoidal map projections as column expressions (Snyder 1987).
+"""Ellipsoidal map projections of columns or, with ``m=Arrays``, of numpy arrays (Snyder 1987).
 
 The datum shift between NAD83 and WGS84 is left out: both are taken as one ellipsoid.
 """
@@ -8,10 +8,18 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+class Arrays:
+    """The functions of columns that projections use, for arrays."""
+
+    lit, sin, cos, tan, asin, atan, atan2 = float, np.sin, np.cos, np.tan, np.arcsin, np.arctan, np.arctan2
+    sqrt, log, pow, radians, degrees, least, greatest = np.sqrt, np.log, np.power, np.radians, np.degrees, np.minimum, np.maximum
+
+
 @dataclass(frozen=True)
 class Albers:
     """Albers equal-area conic; the defaults are EPSG:3338."""
@@ -39,30 +47,30 @@ class Albers:
         c = m(p1) ** 2 + n * q(p1)
         return n, c, self.a * math.sqrt(c - n * q(p0)) / n, e
 
-    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+    def forward(self, lon: Column, lat: Column, m=F) -> tuple[Column, Column]:
         n, c, rho0, e = self._constants()
-        e2, s = e * e, F.sin(F.radians(lat))
-        q = F.lit(1 - e2) * (s / (1 - e2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / F.lit(2 * e))
-        rho = F.lit(self.a / n) * F.sqrt(F.lit(c) - F.lit(n) * q)
-        theta = F.radians(lon - F.lit(self.lon0)) * F.lit(n)
-        return rho * F.sin(theta), F.lit(rho0) - rho * F.cos(theta)
+        e2, s = e * e, m.sin(m.radians(lat))
+        q = m.lit(1 - e2) * (s / (1 - e2 * s * s) - m.log((1 - e * s) / (1 + e * s)) / m.lit(2 * e))
+        rho = m.lit(self.a / n) * m.sqrt(m.lit(c) - m.lit(n) * q)
+        theta = m.radians(lon - m.lit(self.lon0)) * m.lit(n)
+        return rho * m.sin(theta), m.lit(rho0) - rho * m.cos(theta)
 
-    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+    def inverse(self, x: Column, y: Column, m=F) -> tuple[Column, Column]:
         n, c, rho0, e = self._constants()
         e2 = e * e
-        rho = F.sqrt(x * x + (F.lit(rho0) - y) * (F.lit(rho0) - y))
-        theta = F.atan2(x, F.lit(rho0) - y)
-        q = (F.lit(c) - rho * rho * F.lit(n * n / self.a**2)) / F.lit(n)
+        rho = m.sqrt(x * x + (m.lit(rho0) - y) * (m.lit(rho0) - y))
+        theta = m.atan2(x, m.lit(rho0) - y)
+        q = (m.lit(c) - rho * rho * m.lit(n * n / self.a**2)) / m.lit(n)
         qp = 1 - (1 - e2) / (2 * e) * math.log((1 - e) / (1 + e))
-        beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q / F.lit(qp))))
+        beta = m.asin(m.greatest(m.lit(-1.0), m.least(m.lit(1.0), q / m.lit(qp))))
         e4, e6 = e2 * e2, e2**3
         lat = (
             beta
-            + F.lit(e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta)
-            + F.lit(23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta)
-            + F.lit(761 * e6 / 45360) * F.sin(6 * beta)
+            + m.lit(e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * m.sin(2 * beta)
+            + m.lit(23 * e4 / 360 + 251 * e6 / 3780) * m.sin(4 * beta)
+            + m.lit(761 * e6 / 45360) * m.sin(6 * beta)
         )
-        return F.lit(self.lon0) + F.degrees(theta / F.lit(n)), F.degrees(lat)
+        return m.lit(self.lon0) + m.degrees(theta / m.lit(n)), m.degrees(lat)
 
 
 @dataclass(frozen=True)
@@ -81,32 +89,32 @@ class PolarStereographic:
         m = math.cos(p) / math.sqrt(1 - e2 * math.sin(p) ** 2)
         return e, t, m
 
-    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+    def forward(self, lon: Column, lat: Column, m=F) -> tuple[Column, Column]:
         e, tc, mc = self._constants()
-        p = F.radians(lat)
-        t = F.tan(F.lit(math.pi / 4) - p / 2) / F.pow((1 - e * F.sin(p)) / (1 + e * F.sin(p)), F.lit(e / 2))
-        rho = F.lit(self.a * mc / tc) * t
-        d = F.radians(lon - F.lit(self.lon0))
-        return rho * F.sin(d), -rho * F.cos(d)
+        p = m.radians(lat)
+        t = m.tan(m.lit(math.pi / 4) - p / 2) / m.pow((1 - e * m.sin(p)) / (1 + e * m.sin(p)), m.lit(e / 2))
+        rho = m.lit(self.a * mc / tc) * t
+        d = m.radians(lon - m.lit(self.lon0))
+        return rho * m.sin(d), -rho * m.cos(d)
 
-    def inverse(self, x: Column, y: Column) -> tuple[Column, Column]:
+    def inverse(self, x: Column, y: Column, m=F) -> tuple[Column, Column]:
         e, tc, mc = self._constants()
-        t = F.sqrt(x * x + y * y) * F.lit(tc / (self.a * mc))
-        chi = F.lit(math.pi / 2) - 2 * F.atan(t)
+        t = m.sqrt(x * x + y * y) * m.lit(tc / (self.a * mc))
+        chi = m.lit(math.pi / 2) - 2 * m.atan(t)
         e2, e4, e6 = e**2, e**4, e**6
         lat = (
             chi
-            + F.lit(e2 / 2 + 5 * e4 / 24 + e6 / 12) * F.sin(2 * chi)
-            + F.lit(7 * e4 / 48 + 29 * e6 / 240) * F.sin(4 * chi)
-            + F.lit(7 * e6 / 120) * F.sin(6 * chi)
+            + m.lit(e2 / 2 + 5 * e4 / 24 + e6 / 12) * m.sin(2 * chi)
+            + m.lit(7 * e4 / 48 + 29 * e6 / 240) * m.sin(4 * chi)
+            + m.lit(7 * e6 / 120) * m.sin(6 * chi)
         )
-        return F.lit(self.lon0) + F.degrees(F.atan2(x, -y)), F.degrees(lat)
+        return m.lit(self.lon0) + m.degrees(m.atan2(x, -y)), m.degrees(lat)
 
 
 class Geographic:
     """Degrees as they are: EPSG:4326."""
 
-    def forward(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+    def forward(self, lon: Column, lat: Column, m=F) -> tuple[Column, Column]:
         return lon, lat
 
     inverse = forward
@@ -117,7 +125,7 @@ SYSTEMS = {3338: Albers(), 3413: PolarStereographic(), 4326: Geographic()}
 UNITS = {3338: "metre", 3413: "metre", 4326: "degree"}
 
 
-def reproject(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
+def reproject(x: Column, y: Column, source: int, target: int, m=F) -> tuple[Column, Column]:
     if source == target:
         return x, y
-    return SYSTEMS[target].forward(*SYSTEMS[source].inverse(x, y))
+    return SYSTEMS[target].forward(*SYSTEMS[source].inverse(x, y, m), m)

@@ -1,5 +1,6 @@
 """Files written and read back."""
 
+import math
 import sqlite3
 import struct
 import zlib
@@ -9,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rillgrid.functions import geometry
+from rillgrid.functions import geometry, projections
 from rillgrid.sources import files, geojson, geotiff, gpkg, shapefile
 
 POINT = geometry.encode(geometry.POINT, [1.0, 2.0])
@@ -112,6 +113,35 @@ def test_warp_to_another_system_and_resample(spark):
     assert big.shape == (6, 8) and big[0, 0] == 0 and big[-1, -1] == 11
 
 
+def test_warped_cells_are_the_nearest_pixels(spark):
+    """Cells of every system against centres that columns project back, from files that are read once."""
+    rng = np.random.default_rng(5)
+    image = rng.integers(0, 4, (300, 350)).astype(np.uint8)
+    at = {"a": (100, 0, 5000, 0, -120, 1_500_000), "b": (90, 0, -2_000_000, 0, -90, -900_000), "c": (0.002, 0, -150, 0, -0.001, 65)}
+    code = {"a": 3338, "b": 3413, "c": 4326}
+    files_ = frame(spark, [*((k, geotiff.write(image, at[k], code[k])) for k in at), ("unknown", geotiff.write(image, at["a"], 32606))])
+    made = geotiff.warped(files_, 3413, 130.0)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+    got = {k: {} for k in at}
+    for row in made.collect():
+        got[row["path"]][row["r"], row["c"]] = row["v"]
+    for k, (a, _, x, _, e, y) in at.items():
+        corners = spark.createDataFrame([(float(x + i * 350 * a), float(y + j * 300 * e)) for i in (0, 1) for j in (0, 1)], "x double, y double")
+        px, py = projections.reproject(F.col("x"), F.col("y"), code[k], 3413)
+        x0, x1, y0, y1 = corners.agg(F.min(px), F.max(px), F.min(py), F.max(py)).first()
+        rows, cols = math.ceil((y1 - y0) / 130), math.ceil((x1 - x0) / 130)
+        cells = spark.range(rows * cols).selectExpr(f"int(id DIV {cols}) AS r", f"int(id % {cols}) AS c")
+        bx, by = projections.reproject(F.lit(x0) + (F.col("c") + 0.5) * 130.0, F.lit(y1) - (F.col("r") + 0.5) * 130.0, 3413, code[k])
+        want = {}
+        for r, c, u, v in cells.select("r", "c", ((bx - x) / a).alias("u"), ((by - y) / e).alias("v")).collect():
+            if min(u % 1, 1 - u % 1, v % 1, 1 - v % 1) < 1e-6:
+                got[k].pop((r, c), None)  # on the line between two pixels
+            elif 0 <= v < 300 and 0 <= u < 350 and image[int(v), int(u)]:
+                want[r, c] = float(image[int(v), int(u)])
+        assert want and got[k] == want
+
+
 def test_geojson_and_shapefiles(spark):
     text = b'{"type": "FeatureCollection", "crs": {"properties": {"code": "3413"}}, "features": [{"geometry": {"type": "Polygon", "coordinates": [[[0,0],[2,0],[2,1],[0,0]]]}}, {"geometry": null}, {"geometry": {"type": "Point", "coordinates": [1,1]}}]}'
     [row] = geojson.read_polygons(frame(spark, [("a.geojson", text)])).collect()

@@ -348,17 +348,16 @@ def segment_parts(x0: float, y0: float, x1: float, y1: float, wkb: bytes | None,
         t = ((p[:, 0] - x0) * ey - (p[:, 1] - y0) * ex) / turn
         u = ((p[:, 0] - x0) * dy - (p[:, 1] - y0) * dx) / turn
     hit = (turn != 0) & (t > 0) & (t < 1) & (u >= 0) & (u <= 1)
-    cuts = [[0.0, 1.0], t[hit]]
-    if not borders:
+    cuts, along = [[0.0, 1.0], t[hit]], []
+    if not borders and (line := (turn == 0) & ((p[:, 0] - x0) * dy == (p[:, 1] - y0) * dx)).any():
         # Sides in line with the segment, from and to which share of it; where two lie on one another is no border.
-        line = (turn == 0) & ((p[:, 0] - x0) * dy == (p[:, 1] - y0) * dx)
         ends = [((e[line, 0] - x0) * dx + (e[line, 1] - y0) * dy) / (dx * dx + dy * dy) for e in (p, q)]
-        first, last = np.minimum(*ends), np.maximum(*ends)
-        cuts += [e[(e > 0) & (e < 1)] for e in (first, last)]
+        along = list(zip(np.minimum(*ends).tolist(), np.maximum(*ends).tolist(), strict=True))
+        cuts.append([e for side in along for e in side if 0 < e < 1])
     cuts = np.unique(np.concatenate(cuts))
     out: list[tuple[float, float]] = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if not borders and ((first < (a + b) / 2) & ((a + b) / 2 < last)).sum() % 2:
+        if sum(first < (a + b) / 2 < last for first, last in along) % 2:
             continue
         x, y = x0 + dx * (a + b) / 2, y0 + dy * (a + b) / 2
         across = (p[:, 1] > y) != (q[:, 1] > y)

@@ -70,11 +70,12 @@ def segments_in_boxes(segments: DataFrame, boxes: DataFrame, size: float) -> Dat
     return pair.withColumns({"lo": lo * whole, "hi": hi * whole, "whole": whole}).where("hi > lo")
 
 
-def segments_in_polygons(segments: DataFrame, polygons: DataFrame, size: float, geom: str = "geom", borders: bool = True) -> DataFrame:
+def segments_in_polygons(segments: DataFrame, polygons: DataFrame, size: float, geom: str | Column = "geom", borders: bool = True) -> DataFrame:
     """The same for polygons and multi-polygons as WKB: a row for each part that a polygon holds.
 
     Bounding boxes (columns ``minx`` to ``maxy`` of ``polygons``) find the candidates.
-    ``borders`` is as in ``geometry.segment_parts``.
+    ``geom`` may be an expression over other columns: polygons are then made for the pairs
+    alone and not sent to each cell. ``borders`` is as in ``geometry.segment_parts``.
     """
     found = segments_in_boxes(segments, polygons, size).drop("lo", "hi")
 
